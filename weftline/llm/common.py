@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/weftline/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, sort: bool = False) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs a re-read."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
@@ -80,18 +81,18 @@ def sum_arrays(df: DataFrame, fold: Callable[[Iterator[pd.DataFrame]], np.ndarra
         total = fold(batches)
         at = [i for i in range(0, size, piece) if total[i : i + piece].any()]
         if at:
-            yield pd.DataFrame({"piece": [i // piece for i in at], "held": [total[i : i + piece].astype("<i8").tobytes() for i in at]})
+            yield pd.DataFrame({"piece": [i // piece for i in at], "held": [zstandard.compress(total[i : i + piece].astype("<i8").tobytes(), 1) for i in at]})
 
     def added(key: tuple, batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
         out = np.zeros(min(piece, size - key[0] * piece), dtype=np.int64)
         for held in batches["held"]:
-            out += np.frombuffer(held, dtype="<i8")
-        return pd.DataFrame({"piece": [key[0]], "held": [out.astype("<i8").tobytes()]})
+            out += np.frombuffer(zstandard.decompress(held), dtype="<i8")
+        return pd.DataFrame({"piece": [key[0]], "held": [zstandard.compress(out.astype("<i8").tobytes(), 1)]})
 
     rows = df.mapInPandas(parts, "piece int, held binary").groupBy("piece").applyInPandas(added, "piece int, held binary").collect()
     out = np.zeros(size, dtype=np.int64)
     for r in rows:
-        out[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["held"], dtype="<i8")
+        out[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(zstandard.decompress(bytes(r["held"])), dtype="<i8")
     return out
 
 

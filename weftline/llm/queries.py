@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import langid, mixing, tokens, toxicity
+from weftline.llm import langid, mixing, neardup, tokens, toxicity
 from weftline.llm.common import crc_of
 
 
@@ -41,8 +41,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "class_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op5_language, op6_toxicity)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op5_language, op6_toxicity, op7_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
