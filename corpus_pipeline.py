@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import langid, mixing, toxicity
+from weftline.llm import decontaminate, langid, mixing, neardup, toxicity
 from weftline.llm.common import crc_of, written
 
 
@@ -22,12 +22,23 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays: that of the least id."""
+    return neardup.kept(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover a benchmark item go."""
+    found = decontaminate.covered(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~F.col("contaminated")).select(*docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: a row for each copy drawn, with its shard."""
     return mixing.shuffled(mixing.mix(docs))
 
 
-STAGES = [("language", language), ("toxicity", toxic), ("mixing", mix)]
+STAGES = [("language", language), ("toxicity", toxic), ("near-duplicates", near_duplicates), ("decontamination", decontaminated), ("mixing", mix)]
 #: SQL expresses neither the compression nor the trained models; the stages are tested against plain Python.
 ORACLE_SQL = None
 
