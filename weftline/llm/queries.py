@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, langid, mixing, neardup, tokens, toxicity
+from weftline.llm import ann, decontaminate, langid, mixing, neardup, tokens, toxicity, urls
 from weftline.llm.common import crc_of
 
 
@@ -46,13 +46,21 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "ratio")
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.covered(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "coverage", "contaminated")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op5_language, op6_toxicity, op7_near_duplicates, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op5_language, op6_toxicity, op7_near_duplicates, op8_url_filter, op9_nearest, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
