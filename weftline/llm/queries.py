@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, decontaminate, langid, mixing, neardup, tokens, toxicity, urls
+from weftline.llm import ann, chat, decontaminate, langid, licenses, mixing, neardup, tokens, toxicity, urls
 from weftline.llm.common import crc_of
 
 
@@ -27,6 +27,21 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
 
 
+def op3_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked(table(spark, sf_dir, "conversations"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand in for files: source/lang/d0-6/doc_id.txt; each hundredth is the license file of one of these levels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    i = F.col("doc_id")
+    place = F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), (i % 7).cast("string")))
+    level = F.when(i % 300 == 0, F.col("source")).when(i % 300 == 100, F.concat_ws("/", "source", "lang")).otherwise(place)
+    path = F.when(i % 100 == 0, F.concat(level, F.lit("/LICENSE-"), i.cast("string"))).otherwise(F.concat(place, F.lit("/"), i.cast("string"), F.lit(".txt")))
+    found = licenses.scan(docs.select("doc_id", path.alias("path"), "text"), key="doc_id")
+    return found.withColumnRenamed("key", "doc_id")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     dicts = langid.learn(docs, usable=F.pmod(crc_of(F.col("doc_id")), F.lit(4)) != 2)
@@ -60,8 +75,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op5_language, op6_toxicity, op7_near_duplicates, op8_url_filter, op9_nearest, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_quotation_links, op4_license_scan, op5_language, op6_toxicity, op7_near_duplicates, op8_url_filter, op9_nearest, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quotation_links": chat.SQL}
