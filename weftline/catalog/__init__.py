@@ -2,9 +2,9 @@
 
 
 def _modules():
-    from weftline.catalog import basic, search
+    from weftline.catalog import basic, relations, search
 
-    return (basic, search)
+    return (basic, search, relations)
 
 
 def queries():

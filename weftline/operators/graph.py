@@ -174,5 +174,5 @@ def urls_matched(calls: DataFrame, patterns: DataFrame) -> DataFrame:
     quoted = F.regexp_replace(F.col("_norm"), r"([.\\+*?\[\]^$(){}|\-])", r"\\$1")
     p = p.withColumn("_regex", F.concat(F.lit("^"), F.regexp_replace(quoted, r"<\w+:\w+>", "[^/]+"), F.lit("$"))).withColumn("_static", normal_url(F.regexp_extract("pattern", r"^(.*?)(<\w+:\w+>|$)", 1)))
     rows = calls.select("url").distinct().withColumn("_url", normal_url(F.col("url"))).crossJoin(F.broadcast(p))
-    tier = F.when(F.col("_url") == F.col("_norm"), 0).when(F.col("_url").rlike(F.col("_regex")), 1).when((F.col("_static") != "") & F.col("_url").startswith(F.col("_static")) & (F.length("_url") > F.length("_static")), 2)
+    tier = F.when(F.col("_url") == F.col("_norm"), 0).when(F.rlike(F.col("_url"), F.col("_regex")), 1).when((F.col("_static") != "") & F.col("_url").startswith(F.col("_static")) & (F.length("_url") > F.length("_static")), 2)
     return rows.withColumn("tier", tier).where("tier is not null").groupBy("url").agg(F.min(F.struct("tier", "place", "pattern")).alias("m")).select("url", F.col("m.pattern").alias("pattern"), F.col("m.tier").alias("tier"))
