@@ -83,11 +83,11 @@ runs AS (SELECT m, conv_id, turn, run, any_value(level) AS level, list(body ORDE
 own AS (SELECT m, trim(regexp_replace(regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0), ''), '^\s+', ''), '\s+$', '')) AS clean FROM rn GROUP BY m),
 units AS (SELECT DISTINCT g.conv_id, g.turn, md5(trim(regexp_replace(lower(u), '\s+', ' ', 'g'))) AS unit FROM own JOIN msgs g USING (m), unnest(list_concat([clean], regexp_split_to_array(clean, '\n\s*\n'), string_split(clean, chr(10)))) AS x(u) WHERE clean <> '' AND g.conv_id IS NOT NULL AND g.turn IS NOT NULL),
 orig AS (SELECT conv_id, unit, min(turn) AS original FROM units GROUP BY ALL),
-q AS (SELECT m, conv_id, turn, level, row_number() OVER (PARTITION BY m ORDER BY run) - 1 AS at, lines FROM runs WHERE level > 0),
-asked AS (SELECT conv_id, turn, at, level, 0 AS kind, md5(trim(regexp_replace(lower(array_to_string(lines, chr(10))), '\s+', ' ', 'g'))) AS unit FROM q
-  UNION ALL SELECT conv_id, turn, at, level, 1, md5(trim(regexp_replace(lower(l), '\s+', ' ', 'g'))) FROM q, unnest(lines) AS y(l) WHERE len(regexp_split_to_array(trim(l), '[ \t]+')) >= 3),
+q AS (SELECT m, conv_id, turn, level, row_number() OVER (PARTITION BY m ORDER BY run) - 1 AS pno, lines FROM runs WHERE level > 0),
+asked AS (SELECT conv_id, turn, pno, level, 0 AS kind, md5(trim(regexp_replace(lower(array_to_string(lines, chr(10))), '\s+', ' ', 'g'))) AS unit FROM q
+  UNION ALL SELECT conv_id, turn, pno, level, 1, md5(trim(regexp_replace(lower(l), '\s+', ' ', 'g'))) FROM q, unnest(lines) AS y(l) WHERE len(regexp_split_to_array(trim(l), '[ \t]+')) >= 3),
 found AS (SELECT a.*, o.original FROM asked a JOIN orig o USING (conv_id, unit) WHERE o.original < a.turn),
-ans AS (SELECT conv_id, turn, arg_min(original, (level, kind, at, original)) AS reply_to, count(DISTINCT at)::INT AS linked FROM found GROUP BY ALL)
+ans AS (SELECT conv_id, turn, arg_min(original, (level, kind, pno, original)) AS reply_to, count(DISTINCT pno)::INT AS linked FROM found GROUP BY ALL)
 SELECT g.conv_id, g.turn, g.role, own.clean AS text, ans.reply_to, (SELECT count(*) FROM q WHERE q.m = g.m)::INT AS quotes, coalesce(ans.linked, 0)::INT AS linked,
   coalesce(ans.reply_to, g.turn - 1) AS anchor, '<|' || coalesce(g.role, 'unknown') || '|>' || chr(10) || own.clean || chr(10) AS message
 FROM msgs g JOIN own USING (m) LEFT JOIN ans ON ans.conv_id = g.conv_id AND ans.turn = g.turn
