@@ -25,7 +25,7 @@ def normalised(text: Column) -> Column:
 
 
 def passages(text: Column) -> Column:
-    """Array of (level, body): runs of lines of one quote level, in order; attribution lines before quotes count as quotes."""
+    """Array of (level, body): runs of lines of one quote level, in order; attribution lines before quotes have level -1 and go with them."""
     lines = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, MARK, "").alias("body")))
     named = F.transform(lines, lambda x, i: F.struct(F.when((x["level"] == 0) & x["body"].rlike(ATTRIBUTION) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0), -1).otherwise(x["level"]).alias("level"), x["body"].alias("body")))
     return named

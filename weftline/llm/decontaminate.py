@@ -163,7 +163,7 @@ def covered(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: in
     out, got = docs, fresh(docs, "tiles")
     best = None
     for k, block in enumerate(blocks(benchmark)):
-        name = f"{got}{k}"
+        name = fresh(out, f"tiles{k}")
 
         out = out.withColumn(name, _judge(sc.broadcast(block), least)(F.col(text)))
         # Largest coverage, then the smaller item.

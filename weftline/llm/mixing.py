@@ -109,9 +109,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     bound = dict.fromkeys(edge, 0)
     if edge:
         marks = spark.createDataFrame([(at[s], s, b) for s, b in edge.items()], "i int, s string, b int")
-        ends = rows.join(F.broadcast(marks), (F.col(source).cast("string").eqNullSafe(F.col("s"))) & (F.col(block) == F.col("b")))
+        slim = rows.select(F.col(source).cast("string").alias("_s"), F.col(block).alias("_b"), F.col(part).alias("part"), F.col(size).alias("size"))
+        ends = slim.join(F.broadcast(marks), F.col("_s").eqNullSafe(F.col("s")) & (F.col("_b") == F.col("b")))
         parts: dict = {s: np.zeros(PARTS, dtype=np.int64) for s in edge}
-        for r in ends.groupBy("i", part).agg(F.sum(size).alias("words")).collect():
+        for r in ends.groupBy("i", "part").agg(F.sum("size").alias("words")).collect():
             parts[names[r["i"]]][r[1]] = r["words"]
         for s, p in parts.items():
             upto = np.concatenate([[0], np.cumsum(p)])
