@@ -2,9 +2,9 @@
 
 
 def _modules():
-    from weftline.catalog import basic, relations, search
+    from weftline.catalog import basic, procedural, relations, search
 
-    return (basic, search, relations)
+    return (basic, search, relations, procedural)
 
 
 def queries():
