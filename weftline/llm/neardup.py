@@ -2,10 +2,13 @@
 
 Texts become sorted 32-bit hashes of five-word shingles. A shingle weighs (1 + ln tf) x idf, where document frequencies of all
 documents are counted in a hashed table of fixed size and idf is damped into [1, 1 + IDF_PULL], so that a group of thousands of
-copies doesn't make its own shared shingles worthless. Consistent weighted samples are banded; in each bucket all members are
-held against one representative by weighted Jaccard similarity, those it doesn't cover against a next one, and so on until
-no bucket has members of two components untested. Links are joined into components by alternating stars. Exact copies (the same
-words) are one node from the start. No step has all pairs of a group, and nothing about single documents reaches the driver.
+copies doesn't make its own shared shingles worthless. Consistent weighted samples are banded. In each bucket all members are
+held against one representative by weighted Jaccard similarity: the member that shares most buckets with others, so the hub of a
+group of copies comes first. Members it doesn't cover are held against a next one. Where a bucket still has members of several
+components (texts that share a passage), it is split by their other bands, which similar texts share as well, and so on; what
+is left after the last split is not compared (see the README for how much that is). Links are joined into components by
+alternating stars. Exact copies (the same words) are one node from the start. No step has all pairs of a group, and nothing
+about single documents reaches the driver.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ WORD = re.compile(r"\w+")
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 14, 3
 #: Rows of the hashed document-frequency table; the most that idf adds to a weight.
 DF_BUCKETS, IDF_PULL = 1 << 18, 0.1
+#: Representatives of a bucket in a step: first its hub, then so many; times that crowded buckets are split by the other bands.
+REPS, SPLITS = 8, 2
 #: Draws (r, ln c, beta) of consistent weighted sampling are taken from tables of this length by hash.
 DRAWS = 1 << 16
 MEMO_WORDS = 400_000
@@ -201,6 +206,36 @@ def components(links: DataFrame) -> DataFrame:
         before = tuple(state)
 
 
+def _round(left: DataFrame, nodes: DataFrame, idf: np.ndarray, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links of each cell's members to its n representatives, and the rows of members that none of them covers (None: none).
+
+    left: cell, key, weight. Members fall into n slots by hash; the representative of a slot has the largest weight of it, ties
+    broken by hash, another way in each cell.
+    """
+    order = F.shiftleft(F.least("weight", F.lit(1 << 20)), 42).bitwiseOR(F.xxhash64("key", "cell").bitwiseAND(F.lit((1 << 42) - 1)))
+    slot = F.pmod(F.xxhash64("cell", "key", F.lit(1)), F.lit(n))
+    reps = left.withColumn("o", order).groupBy("cell", slot.alias("slot")).agg(F.max_by("key", "o").alias("rep")).drop("slot")
+    members = left.join(reps, "cell")
+    found = written(verified(members.where("key <> rep").select("key", "rep").distinct(), nodes, idf))
+    # Representatives are done, and so is a member that one of its cell's representatives covers.
+    done = members.where("key = rep").select("cell", "key").unionByName(members.join(found, ["key", "rep"], "left_semi").select("cell", "key")).distinct()
+    rest = left.join(done, ["cell", "key"], "left_anti")
+    rest = written(rest.join(rest.groupBy("cell").count().where("count > 1").select("cell"), "cell"))
+    return found, None if rest.isEmpty() else rest
+
+
+def _untested(left: DataFrame, comp: DataFrame, cells: DataFrame) -> DataFrame | None:
+    """Rows of cells that still hold several components, split by the members' other cells; None if there are none."""
+    named = left.join(comp, "key", "left").select("cell", "key", "weight", F.coalesce("comp", "key").alias("own"))
+    several = named.groupBy("cell").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("cell")
+    rows = named.join(several, "cell").select("cell", "key", "weight", "own")
+    finer = rows.join(cells.select("key", F.col("cell").alias("other")), "key").where("other <> cell")
+    finer = written(finer.select(F.xxhash64(F.least("cell", "other"), F.greatest("cell", "other")).alias("cell"), "key", "weight", "own").distinct())
+    several = finer.groupBy("cell").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("cell")
+    out = written(finer.join(several, "cell").select("cell", "key", "weight"))
+    return None if out.isEmpty() else out
+
+
 def classes(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, class_id): for each row its id and the least id of its class.
 
@@ -211,38 +246,24 @@ def classes(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFra
     rows = docs.select(identity(F.col(id_), F.col(text)).alias(own), F.col(text))
     base = written(shingled(rows, own, text))
     idf = idf_table(base)
-    bands = written(banded(base, idf))
+    bands = written(banded(base, idf).select("key", F.xxhash64("band", "bucket").alias("cell")))
     least = written(base.where("key is not null").groupBy("key").agg(F.min("id").alias("first")))
-    crowded = bands.groupBy("band", "bucket").count().where("count > 1").drop("count")
-    left = written(bands.join(crowded, ["band", "bucket"]))
-    wanted = left.select("key").distinct().join(least, "key").select("key", F.col("first").alias("id"))
+    crowded = bands.groupBy("cell").count().where("count > 1")
+    cells = written(bands.join(crowded, "cell"))
+    weight = written(cells.groupBy("key").agg(F.sum("count").alias("weight")))
+    cells = written(cells.join(weight, "key").select("cell", "key", "weight"))
+    wanted = weight.select("key").join(least, "key").select("key", F.col("first").alias("id"))
     nodes = written(base.join(wanted, ["key", "id"]).select("key", "shingles", "times"))
-    links, comp, tested = None, None, None
-    while True:
-        # Another order of keys in each band: what one representative misses, that of another band may cover.
-        salted = left.withColumn("v", F.col("key").bitwiseXOR(F.xxhash64("band")))
-        reps = salted.groupBy("band", "bucket").agg(F.min("v").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "bucket", F.col("v").bitwiseXOR(F.xxhash64("band")).alias("rep"))
-        members = written(left.join(reps, ["band", "bucket"]).where("key <> rep"))
-        pairs = members.select("key", "rep").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["key", "rep"], "left_anti")
-        pairs = written(pairs)
-        if pairs.isEmpty():
-            found = None
-        else:
-            found = written(verified(pairs, nodes, idf))
-            links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        if links is None:
-            break
+    links, comp, left = None, None, cells
+    for split in range(SPLITS + 1):
+        for reps in (1, REPS) if split == 0 else (REPS,):
+            if left is not None:
+                found, left = _round(left, nodes, idf, reps)
+                links = found if links is None else links.unionByName(found)
         comp = components(links.select(F.col("key").alias("a"), F.col("rep").alias("b")))
-        # Members outside their representative's component go on, where a bucket still has two components among them.
-        named = members.join(comp, "key", "left").withColumn("own", F.coalesce("comp", "key")).drop("comp")
-        named = named.join(comp.select(F.col("key").alias("rep"), F.col("comp").alias("rep_comp")), "rep", "left")
-        rest = named.where(F.col("own") != F.coalesce("rep_comp", "rep")).select("band", "bucket", "own", "key")
-        several = rest.groupBy("band", "bucket").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("band", "bucket")
-        left = written(rest.join(several, ["band", "bucket"]).select("band", "bucket", "key"))
-        if left.isEmpty():
+        if left is not None and split < SPLITS:
+            left = _untested(left, comp, cells)
+        if left is None:
             break
     if comp is not None:
         named = least.join(comp, "key", "left").select("key", "first", F.coalesce("comp", "key").alias("comp"))
