@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -113,13 +114,23 @@ class Tiler:
     def best(self, text: str) -> tuple[int | None, float]:
         """The item that the text covers most (ties: the smaller id) and its share; None and 0 without a shared seed."""
         words = tokens(text)
-        at = self.at
         # Words of no item get 0, which no item has.
-        doc = np.fromiter((at.get(w, 0) for w in words), dtype=np.uint64, count=len(words))
+        doc = np.fromiter(map(self.at.get, words, repeat(0)), dtype=np.uint64, count=len(words))
+        known = doc != 0
         hits: set[int] = set()
         for size, (array, items) in self.seeds.items():
-            h = _runs(doc, size)
-            for x in np.unique(h[np.isin(h, array)]).tolist():
+            # Only runs of words that items have can be seeds.
+            run = known[: max(len(doc) - size + 1, 0)]
+            for j in range(1, size):
+                run = run & known[j : j + len(run)]
+            start = np.flatnonzero(run)
+            if not len(start):
+                continue
+            h = np.zeros(len(start), dtype=np.uint64)
+            for j in range(size):
+                h = h * BASE + doc[start + j]
+            place = np.minimum(np.searchsorted(array, h), len(array) - 1)
+            for x in set(h[array[place] == h].tolist()):
                 hits.update(items[x])
         top: tuple[int | None, float] = (None, 0.0)
         for n in sorted(hits, key=lambda n: self.items[n][0]):
