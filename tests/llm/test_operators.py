@@ -199,6 +199,32 @@ def test_chains_odd_rows_and_kept(spark):
     assert neardup.kept(odd(spark, [])).count() == 0
 
 
+def _family(n, pairs, seed=6):
+    """Texts that share a passage, at 0.75 of each other by shingles; of each of the first pairs, two are at 0.83."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    passage, out = [word() for _ in range(124)], []
+    for i in range(n - pairs):
+        own = [word() for _ in range(20)]
+        out.append((i, " ".join(passage + own)))
+        if i < pairs:
+            out.append((n - pairs + i, " ".join(passage + own[:8] + [word() for _ in range(12)])))
+    return out
+
+
+def test_no_link_of_a_template_family_is_lost(spark):
+    n, pairs = 1000, 100
+    rows = _family(n, pairs)
+    out = {r["id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shingler = neardup.Shingler()
+    sets = {i: set(shingler(t)[1].tolist()) for i, t in rows}
+    for i in range(pairs):
+        a, b, other = sets[i], sets[n - pairs + i], sets[pairs + i]
+        assert len(a & b) / len(a | b) > 0.82 and len(a & other) / len(a | other) < 0.77
+    assert [i for i in range(pairs) if out[n - pairs + i] != i] == []
+    assert len(set(out.values())) == n - pairs
+
+
 def test_consistent_samples_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 32, 400, dtype=np.uint32)

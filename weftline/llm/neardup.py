@@ -4,17 +4,15 @@ Texts become sorted 32-bit hashes of five-word shingles. A shingle weighs (1 + l
 documents are counted in a hashed table of fixed size and idf is damped into [1, 1 + IDF_PULL], so that a group of thousands of
 copies doesn't make its own shared shingles worthless. Consistent weighted samples are banded. In each bucket all members are
 held against one representative by weighted Jaccard similarity: the member that shares most buckets with others, so the hub of a
-group of copies comes first. Members it doesn't cover are held against a next one. Where a bucket still has members of several
-components (texts that share a passage), it is split by their other bands, which similar texts share as well, and so on; what
-is left after the last split is not compared (see the README for how much that is). Links are joined into components by
-alternating stars. Exact copies (the same words) are one node from the start. No step has all pairs of a group, and nothing
-about single documents reaches the driver.
+group of copies. Links are joined into components by alternating stars. Then every two members of a bucket that are not in one
+component yet are compared, block by block in tasks of bounded size, so no two texts that share a bucket are left out. Exact
+copies (the same words) are one node from the start. Nothing about single documents reaches the driver.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,8 +27,8 @@ WORD = re.compile(r"\w+")
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 14, 3
 #: Rows of the hashed document-frequency table; the most that idf adds to a weight.
 DF_BUCKETS, IDF_PULL = 1 << 18, 0.1
-#: Representatives of a bucket in a step: first its hub, then so many; times that crowded buckets are split by the other bands.
-REPS, SPLITS = 8, 2
+#: Members of a block; up to so many pairs are compared one by one; room for rounding before the exact comparison.
+BLOCK, FEW, SLACK = 256, 16, 1e-3
 #: Draws (r, ln c, beta) of consistent weighted sampling are taken from tables of this length by hash.
 DRAWS = 1 << 16
 MEMO_WORDS = 400_000
@@ -206,34 +204,126 @@ def components(links: DataFrame) -> DataFrame:
         before = tuple(state)
 
 
-def _round(left: DataFrame, nodes: DataFrame, idf: np.ndarray, n: int) -> tuple[DataFrame, DataFrame | None]:
-    """Links of each cell's members to its n representatives, and the rows of members that none of them covers (None: none).
+def _hubs(cells: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Links of each cell's members to its hub, the member of the largest weight (cells: cell, key, weight)."""
+    order = F.shiftleft(F.least("weight", F.lit(1 << 20)), 42).bitwiseOR(F.xxhash64("key", "cell").bitwiseAND(F.lit((1 << 42) - 1)))
+    hubs = cells.withColumn("o", order).groupBy("cell").agg(F.max_by("key", "o").alias("rep"))
+    return written(verified(cells.join(hubs, "cell").where("key <> rep").select("key", "rep").distinct(), nodes, idf))
+
 
-    left: cell, key, weight. Members fall into n slots by hash; the representative of a slot has the largest weight of it, ties
-    broken by hash, another way in each cell.
+def _rest(cells: DataFrame, comp: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Links (key, rep) among all pairs of a cell whose members are in different components; each pair is compared once.
+
+    A cell's largest component is cut into blocks, and so are its other members. Blocks of others are held against each other
+    and against those of the largest component, each two of them in a group of its own; so no task has more than two blocks,
+    and members of the largest component are never held against each other.
     """
-    order = F.shiftleft(F.least("weight", F.lit(1 << 20)), 42).bitwiseOR(F.xxhash64("key", "cell").bitwiseAND(F.lit((1 << 42) - 1)))
-    slot = F.pmod(F.xxhash64("cell", "key", F.lit(1)), F.lit(n))
-    reps = left.withColumn("o", order).groupBy("cell", slot.alias("slot")).agg(F.max_by("key", "o").alias("rep")).drop("slot")
-    members = left.join(reps, "cell")
-    found = written(verified(members.where("key <> rep").select("key", "rep").distinct(), nodes, idf))
-    # Representatives are done, and so is a member that one of its cell's representatives covers.
-    done = members.where("key = rep").select("cell", "key").unionByName(members.join(found, ["key", "rep"], "left_semi").select("cell", "key")).distinct()
-    rest = left.join(done, ["cell", "key"], "left_anti")
-    rest = written(rest.join(rest.groupBy("cell").count().where("count > 1").select("cell"), "cell"))
-    return found, None if rest.isEmpty() else rest
-
-
-def _untested(left: DataFrame, comp: DataFrame, cells: DataFrame) -> DataFrame | None:
-    """Rows of cells that still hold several components, split by the members' other cells; None if there are none."""
-    named = left.join(comp, "key", "left").select("cell", "key", "weight", F.coalesce("comp", "key").alias("own"))
-    several = named.groupBy("cell").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("cell")
-    rows = named.join(several, "cell").select("cell", "key", "weight", "own")
-    finer = rows.join(cells.select("key", F.col("cell").alias("other")), "key").where("other <> cell")
-    finer = written(finer.select(F.xxhash64(F.least("cell", "other"), F.greatest("cell", "other")).alias("cell"), "key", "weight", "own").distinct())
-    several = finer.groupBy("cell").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("cell")
-    out = written(finer.join(several, "cell").select("cell", "key", "weight"))
-    return None if out.isEmpty() else out
+    named = cells.join(comp, "key", "left").select("cell", "key", F.coalesce("comp", "key").alias("own"))
+    sizes = named.groupBy("cell", "own").count().groupBy("cell").agg(F.count("*").alias("several"), F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("own", F.struct("count", "own")).alias("main")).where("several > 1")
+    small = F.col("n") <= BLOCK
+    others = F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("most")) / BLOCK)).cast("int")
+    mains = F.when(small, 0).otherwise(F.ceil(F.col("most") / BLOCK)).cast("int")
+    rows = named.join(sizes, "cell").withColumns({"others": others, "mains": mains, "in_main": ~small & (F.col("own") == F.col("main"))})
+    slot = F.xxhash64("key", F.lit(3))
+    at = F.when(F.col("in_main"), F.col("others") + F.pmod(slot, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(slot, "others")).cast("int")
+    against = F.explode(F.sequence(F.lit(0), F.when(F.col("in_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1))
+    rows = rows.withColumn("at", at).withColumn("against", against)
+    rows = rows.select("cell", F.least("at", "against").alias("lo"), F.greatest("at", "against").alias("hi"), "at", "key", "own")
+    own_cells = cells.groupBy("key").agg(F.collect_list("cell").alias("cells"))
+    rows = rows.join(nodes.join(own_cells, "key"), "key").repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
+    table = cells.sparkSession.sparkContext.broadcast(idf)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in runs(batches, ["cell", "lo", "hi"]):
+            found = block_links(group, table.value)
+            if found:
+                yield pd.DataFrame(found, columns=["key", "rep"])
+
+    return written(rows.mapInPandas(look, "key long, rep long"))
+
+
+def runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of sorted rows, also where a group goes over several batches."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = batch[by].to_numpy()
+        cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1), len(batch)]
+        if held and (held[-1][by].to_numpy()[-1] != k[0]).any():
+            yield pd.concat(held)
+            held = []
+        for i, j in zip(cut, cut[1:]):
+            if i:
+                yield pd.concat(held)
+                held = []
+            held.append(batch.iloc[i:j])
+    if held:
+        yield pd.concat(held)
+
+
+def block_links(group: pd.DataFrame, idf: np.ndarray) -> list[tuple[int, int]]:
+    """Similar pairs of a block with itself or of two blocks, in different components, that share no cell before this one."""
+    cell, lo, hi = (group[c].iat[0] for c in ("cell", "lo", "hi"))
+    at, key, own = (group[c].to_numpy() for c in ("at", "key", "own"))
+    a = np.flatnonzero(at == lo)
+    b = a if lo == hi else np.flatnonzero(at == hi)
+    sets, times = group["shingles"].to_list(), group["times"].to_list()
+    weight = np.array([weights(np.frombuffer(s, dtype="<u4"), t, idf).sum(dtype=float) for s, t in zip(sets, times, strict=True)])
+    wa, wb = weight[a][:, None], weight[b][None, :]
+    # Similarity is at most the ratio of the weights.
+    want = (own[a][:, None] != own[b][None, :]) & (np.minimum(wa, wb) >= (SIMILAR - SLACK) * np.maximum(wa, wb))
+    if lo == hi:
+        want &= a[:, None] < b[None, :]
+    if not want.any():
+        return []
+    before = [c[c < cell] for c in map(np.asarray, group["cells"])]
+    want &= shared([before[i] for i in a], [before[i] for i in b], lambda x: np.ones(len(x), dtype=np.float32)) == 0
+    i, j = np.nonzero(want)
+    if len(i) > FEW:
+        ra, rb = np.unique(i), np.unique(j)
+        parts = {n: layers(sets[n], times[n]) for n in {*a[ra], *b[rb]}}
+        both = np.zeros(want.shape)
+        both[np.ix_(ra, rb)] = shared([parts[n] for n in a[ra]], [parts[n] for n in b[rb]], lambda x: layer_weights(x, idf))
+        i, j = np.nonzero(want & (both >= (SIMILAR - SLACK) * (wa + wb - both)))
+    return [(int(key[x]), int(key[y])) for x, y in zip(a[i], b[j], strict=True) if similarity(sets[x], times[x], sets[y], times[y], idf) >= SIMILAR]
+
+
+def layers(held: bytes, times: bytes | None) -> np.ndarray:
+    """A number for each shingle and each of its occurrences: shingle, and in the low 16 bits which occurrence."""
+    s = np.frombuffer(held, dtype="<u4").astype(np.int64) << 16
+    if not times:
+        return s
+    n = np.frombuffer(times, dtype="<u2").astype(np.int64)
+    return np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def layer_weights(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """What an occurrence adds to the shingle's weight."""
+    k = (x & 0xFFFF).astype(float)
+    return (idf[x >> 30] * np.where(k > 0, np.log1p(k) - np.log(np.maximum(k, 1)), 1)).astype(np.float32)
+
+
+def shared(a: list[np.ndarray], b: list[np.ndarray], weight: Callable[[np.ndarray], np.ndarray], step: int = 8192) -> np.ndarray:
+    """Weight of the numbers that each array of a has in common with each array of b."""
+    x, y = np.concatenate(a), np.concatenate(b)
+    rx, ry = np.repeat(np.arange(len(a)), list(map(len, a))), np.repeat(np.arange(len(b)), list(map(len, b)))
+    both = np.intersect1d(x, y)
+    w = weight(both)
+    out = np.zeros((len(a), len(b)))
+    if not len(both):
+        return out
+    px, py = np.minimum(np.searchsorted(both, x), len(both) - 1), np.minimum(np.searchsorted(both, y), len(both) - 1)
+    kx, ky = both[px] == x, both[py] == y
+    px, rx, py, ry = px[kx], rx[kx], py[ky], ry[ky]
+    for i in range(0, len(both), step):
+        n = min(step, len(both) - i)
+        p, q = np.zeros((len(a), n), dtype=np.float32), np.zeros((len(b), n), dtype=np.float32)
+        kx, ky = (px >= i) & (px < i + n), (py >= i) & (py < i + n)
+        p[rx[kx], px[kx] - i] = w[px[kx]]
+        q[ry[ky], py[ky] - i] = 1
+        out += p @ q.T
+    return out
 
 
 def classes(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,23 +344,12 @@ def classes(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFra
     cells = written(cells.join(weight, "key").select("cell", "key", "weight"))
     wanted = weight.select("key").join(least, "key").select("key", F.col("first").alias("id"))
     nodes = written(base.join(wanted, ["key", "id"]).select("key", "shingles", "times"))
-    links, comp, left = None, None, cells
-    for split in range(SPLITS + 1):
-        for reps in (1, REPS) if split == 0 else (REPS,):
-            if left is not None:
-                found, left = _round(left, nodes, idf, reps)
-                links = found if links is None else links.unionByName(found)
-        comp = components(links.select(F.col("key").alias("a"), F.col("rep").alias("b")))
-        if left is not None and split < SPLITS:
-            left = _untested(left, comp, cells)
-        if left is None:
-            break
-    if comp is not None:
-        named = least.join(comp, "key", "left").select("key", "first", F.coalesce("comp", "key").alias("comp"))
-        first = named.groupBy("comp").agg(F.min("first").alias("class_id"))
-        least = named.join(first, "comp").select("key", "class_id")
-    else:
-        least = least.select("key", F.col("first").alias("class_id"))
+    links = _hubs(cells, nodes, idf)
+    links = links.unionByName(_rest(cells, components(links.select(F.col("key").alias("a"), F.col("rep").alias("b"))), nodes, idf))
+    comp = components(links.select(F.col("key").alias("a"), F.col("rep").alias("b")))
+    named = least.join(comp, "key", "left").select("key", "first", F.coalesce("comp", "key").alias("comp"))
+    first = named.groupBy("comp").agg(F.min("first").alias("class_id"))
+    least = named.join(first, "comp").select("key", "class_id")
     lone = base.where("key is null").select("id", F.col("id").alias("class_id"))
     return base.where("key is not null").select("id", "key").join(least, "key").select("id", "class_id").unionByName(lone)
 
