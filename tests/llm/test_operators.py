@@ -126,6 +126,21 @@ def test_headers_and_inheritance(spark):
     assert licenses.scan(spark.createDataFrame([], "key long, path string, text string")).count() == 0
 
 
+def test_every_term_of_a_header_has_its_document_frequency(spark):
+    header = "This project is released under the MIT license"
+    rows = [(i, f"d{i}/a.py", "this project is here" + (f"\n{header}" if i % 50 == 0 else "")) for i in range(400)]
+    out = {r["key"]: r["own_score"] for r in licenses.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
+    n, seen = len(rows), {}
+    for _, _, text in rows:
+        for t in set(text.lower().split()):
+            seen[t] = seen.get(t, 0) + 1
+    idf = lambda t: np.log((n + 1) / (1 + seen.get(t, 0))) + 1
+    words, template = header.lower().split(), "released under the mit license".split()
+    size, norm = (sum(idf(t) ** 2 for t in x) ** 0.5 for x in (words, template))
+    assert out[0] == pytest.approx(sum(idf(t) ** 2 for t in template) / size / norm, abs=2e-6)
+    assert out[1] is None
+
+
 # 5. Language
 
 

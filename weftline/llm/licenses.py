@@ -12,6 +12,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import written
+
 #: Template sentences by SPDX identifier.
 TEMPLATES = (
     ("AGPL-3.0", "licensed under the gnu affero general public license version 3"),
@@ -53,20 +55,21 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", key: str = "k
     rows = files.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
     vocabulary = sorted({t for _, s in TEMPLATES for t in s.split()})
     n = rows.count()
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    df = {r["t"]: r["n"] for r in rows.select(F.explode(F.array_intersect(known, _terms(F.col("text")))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    idf = F.ln(F.lit(float(n + 1)) / (F.lit(1.0) + F.coalesce("df", F.lit(0.0)))) + 1
-    frequencies = F.broadcast(spark.createDataFrame([(t, float(df.get(t, 0))) for t in vocabulary], "term string, df double"))
+    idf = F.ln(F.lit(float(n + 1)) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1
     models = spark.createDataFrame([(i, name, t, float(c)) for i, (name, s) in enumerate(TEMPLATES) for t, c in Counter(s.split()).items()], "template int, name string, term string, tf double")
-    weighted = models.join(frequencies, "term").withColumn("w", F.col("tf") * idf)
-    norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    templates = F.broadcast(weighted.join(norms, "template").select("template", "name", "term", (F.col("w") / F.col("norm")).alias("u")))
     # Units: header lines, and the whole of license files. Each is a row with the file's place.
     is_file = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(ANCHOR))
     unit = F.explode(F.when(is_file, F.concat(lines, F.array("text"))).otherwise(lines))
     units = rows.where(F.col("text").rlike(ANCHOR) | is_file).select("key", "path", unit.alias("unit")).where("unit is not null").distinct()
-    counted = units.select("key", "path", F.xxhash64("unit").alias("h"), F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "path", "h", "term").agg(F.count("*").cast("double").alias("tf"))
+    counted = written(units.select("key", "path", F.xxhash64("unit").alias("h"), F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "path", "h", "term").agg(F.count("*").cast("double").alias("tf")))
+    # Files that each term of a unit or a template stands in, of all files.
+    wanted = counted.select("term").union(spark.createDataFrame([(t,) for t in vocabulary], "term string")).distinct()
+    files_with = rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    frequencies = written(files_with.join(wanted, "term", "left_semi"))
+    weighted = models.join(frequencies, "term", "left").withColumn("w", F.col("tf") * idf)
+    norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    templates = F.broadcast(weighted.join(norms, "template").select("template", "name", "term", (F.col("w") / F.col("norm")).alias("u")))
     vectors = counted.join(frequencies, "term", "left").withColumn("w", F.col("tf") * idf)
     size = vectors.groupBy("key", "path", "h").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     dots = vectors.join(templates, "term").groupBy("key", "path", "h", "template", "name").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
