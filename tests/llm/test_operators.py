@@ -293,6 +293,13 @@ def test_odd_vectors(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_an_id_repeated_more_than_k_times_takes_one_place(spark):
+    rows = [(0, [1.0, 0.0]), *[(1, [1.0, 0.01])] * 30, *[(i, [1.0, 0.1 * i]) for i in range(2, 9)]]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    out = ann.search(e, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in out] == [(i, i) for i in range(1, 6)]
+
+
 # 10. Decontamination
 
 

@@ -5,7 +5,7 @@ to signs. A code is split into one-byte substrings and each partition of vectors
 principle a code within Hamming distance r of a query's lies within floor(r / m) of it in one of the m substrings at least: probing
 all values so near in every index retrieves all codes within r, and these are ranked by exact cosines of the original vectors.
 r is set from brute force over all rows for a bounded sample of queries, so that their true neighbours are within it.
-Queries go to the partitions in blocks of bounded size; each partition returns k rows a query.
+Queries go to the partitions in blocks of bounded size; each partition returns k ids a query.
 """
 
 from __future__ import annotations
@@ -55,13 +55,14 @@ def codes(unit: np.ndarray, turns: list[np.ndarray]) -> np.ndarray:
 class MultiIndex:
     """One-byte substring indexes of codes: for each substring the rows sorted by value and where each value begins."""
 
-    def __init__(self, code: np.ndarray):
-        self.code, self.m = code, code.shape[1]
+    def __init__(self, code: np.ndarray, ids: np.ndarray):
+        self.code, self.m, self.ids = code, code.shape[1], ids
+        self.distinct = len(np.unique(ids))
         self.rows = [np.argsort(code[:, j], kind="stable") for j in range(self.m)]
         self.begin = [np.searchsorted(code[self.rows[j], j], np.arange(257)) for j in range(self.m)]
 
     def within(self, query: np.ndarray, radius: int, at_least: int) -> np.ndarray:
-        """All rows within the radius of the query's code; a larger radius where these are fewer than at_least."""
+        """All rows within the radius of the query's code; a larger radius where these have fewer than at_least distinct ids."""
         near = radius // self.m
         hit = np.zeros(len(self.code), dtype=bool)
         for j in range(self.m):
@@ -70,7 +71,11 @@ class MultiIndex:
         rows = np.flatnonzero(hit)
         far = POPCOUNT[self.code[rows] ^ query].sum(axis=1, dtype=np.int64)
         found = rows[far <= radius]
-        if len(found) >= min(at_least, len(self.code)):
+        if self.distinct == len(self.ids):
+            n = len(found)
+        else:
+            n = len(np.unique(self.ids[found]))
+        if n >= min(at_least, self.distinct):
             return found
         return self.within(query, radius + 2 * self.m, at_least)
 
@@ -78,12 +83,19 @@ class MultiIndex:
 def _top(query_id: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     rows = rows[ids[rows] != query_id]
     score = (vectors[rows] * query).sum(axis=1) / (norms[rows] * np.sqrt((query * query).sum()))
-    best = np.lexsort((ids[rows], -score))[:k]
+    order = np.lexsort((ids[rows], -score))
+    # The best row of each id; more rows only where ids repeat.
+    best, n = order[:k], k
+    while n < len(order) and len(np.unique(ids[rows[best]])) < k:
+        n *= 4
+        best = order[:n]
+    _, first = np.unique(ids[rows[best]], return_index=True)
+    best = best[np.sort(first)[:k]]
     return [(query_id, int(ids[rows[b]]), float(score[b])) for b in best]
 
 
 def _searched(vectors: DataFrame, block: pd.DataFrame, k: int, turns: list[np.ndarray] | None, radius: int) -> DataFrame:
-    """(query_id, vec_id, score): k rows of each partition chunk for each query; by brute force if turns is None."""
+    """(query_id, vec_id, score): k distinct ids of each partition chunk for each query; by brute force if turns is None."""
     shared = vectors.sparkSession.sparkContext.broadcast((block["id"].to_numpy(), _matrix(block["v"]), turns, radius))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,7 +108,7 @@ def _searched(vectors: DataFrame, block: pd.DataFrame, k: int, turns: list[np.nd
                 everything = np.arange(len(ids))
                 pick = lambda n, everything=everything: everything
             else:
-                index, qc = MultiIndex(codes(v / norms[:, None], turn)), codes(unit_q, turn)
+                index, qc = MultiIndex(codes(v / norms[:, None], turn), ids), codes(unit_q, turn)
                 pick = lambda n, index=index, qc=qc: index.within(qc[n], r, k + 1)
             out = [row for n in range(len(qid)) for row in _top(int(qid[n]), q[n], ids, v, norms, pick(n), k)]
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
@@ -129,7 +141,7 @@ def search(embeddings: DataFrame, queries: Column, k: int = 5, vec_id: str = "ve
     if sizes is None:
         return empty
     base = base.where(F.size("v") == sizes["d"])
-    n_rows, n_queries = sizes["count"], base.where("q").count()
+    n_rows, n_queries = sizes["count"], base.where("q").select("id").distinct().count()
     if not n_queries:
         return empty
     share = min(1.0, 1.3 * SAMPLE / n_rows)
@@ -140,7 +152,7 @@ def search(embeddings: DataFrame, queries: Column, k: int = 5, vec_id: str = "ve
     asked = base.where("q").select("id", "v")
     vectors = base.select("id", "v")
     # The radius: brute force of a bounded sample of queries over all rows.
-    trial = asked.where(rank <= min(1.0, 1.5 * TUNE / n_queries)).limit(2 * TUNE).toPandas()
+    trial = asked.where(rank <= min(1.0, 1.5 * TUNE / n_queries)).dropDuplicates(["id"]).limit(2 * TUNE).toPandas()
     radius = 0
     if len(trial):
         true = _nearest(_searched(vectors, trial, k, None, 0), k).toPandas()
@@ -164,4 +176,4 @@ def search(embeddings: DataFrame, queries: Column, k: int = 5, vec_id: str = "ve
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
