@@ -266,6 +266,35 @@ def test_url_rules_and_model(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_url_counts_are_exact_for_many_contexts(spark):
+    rng = random.Random(5)
+    rows = [(i, f"http://{'a.org/' if i % 2 else 'a.com/de/'}" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60))) for i in range(3000)] + [(3000, "http://b.net/some/page"), (3001, "ÄB")]
+    counts = [{}, {}]
+
+    def grams(url):
+        data = url.lower().encode()
+        for i, byte in enumerate(data):
+            for k in range(5):
+                yield (k, i if i < k else k, data[max(0, i - k) : i]), byte
+
+    for i, url in rows[:3000]:
+        for context, byte in grams(url):
+            for x in (context, (context, byte)):
+                counts[i % 2 == 0][x] = counts[i % 2 == 0].get(x, 0) + 1
+    assert len({x for c in counts for x in c}) > 1 << 17
+    out = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(out) == len(rows)
+    for i in (0, 1, 2, 1501, 3000, 3001):
+        total, p = 0.0, [1 / 256, 1 / 256]
+        for context, byte in grams(rows[i][1]):
+            if context[0] == 0:
+                p = [1 / 256, 1 / 256]
+            p = [(c.get((context, byte), 0) + 2 * x) / (c.get(context, 0) + 2) for c, x in zip(counts, p)]
+            if context[0] == 4:
+                total += np.log(p[0] / p[1])
+        assert out[i]["ratio"] == pytest.approx(total / len(rows[i][1].lower().encode()), abs=1e-9)
+
+
 # 9. Nearest neighbours
 
 

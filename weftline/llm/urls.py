@@ -2,20 +2,20 @@
 
 Accepted and rejected URLs each train a smoothed variable-order Markov model: the chance of a byte after its last k bytes is
 drawn towards that after its last k - 1, down to a uniform one, so each context is used as far as it has been seen. Counts are
-kept in hashed tables of fixed size over all labelled URLs. The mean log-likelihood difference per byte is cut at the place
+kept exactly, in grouped tables over all labelled URLs. The mean log-likelihood difference per byte is cut at the place
 that separates the labelled URLs best.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fresh, mix64, sum_arrays
+from weftline.llm.common import fresh, written
 
 #: Verdict, host, path.
 RULES = (
@@ -25,8 +25,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Longest context in bytes, hashed slots of each table, pull towards the shorter context, bins of the calibration and its range.
-ORDER, SLOTS, PULL, BINS, RANGE = 4, 1 << 16, 2.0, 4000, 10.0
+#: Longest context in bytes, pull towards the shorter context, bins of the calibration and its range.
+ORDER, PULL, BINS, RANGE = 4, 2.0, 4000, 10.0
+#: Bits of a byte or of the start in a packed window; URLs of a chunk.
+BITS, CHUNK = 9, 4000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,73 +54,92 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return (name, verdict) if name is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def _slots(urls: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Lengths, index of the url of each byte, and for each order the slots of (context, byte) and of the context."""
+def _windows(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of the lower-cased urls: index of its url, and the byte with the ORDER before it, packed exactly.
+
+    Nine bits a byte, the oldest first: 0 before the url's start, otherwise the byte plus one.
+    """
     data = [u.lower().encode("utf-8", "replace") for u in urls]
     size = np.array([len(d) for d in data], dtype=np.int64)
     of = np.repeat(np.arange(len(data)), size)
-    joined = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.uint64)
+    joined = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.int64) + 1
     place = np.arange(len(joined)) - np.repeat(np.cumsum(size) - size, size)
-    out = []
-    context = np.zeros(len(joined), dtype=np.uint64)
-    for k in range(ORDER + 1):
-        if k:
-            before = np.zeros(len(joined), dtype=np.uint64)
-            before[k:] = joined[: len(joined) - k] + np.uint64(1)
-            context = context * np.uint64(263) + np.where(place >= k, before, np.uint64(0))
-        c = mix64(context * np.uint64(8) + np.uint64(k))
-        pair = mix64(c + joined + np.uint64(1))
-        out.append(((pair % np.uint64(SLOTS)).astype(np.int64), (c % np.uint64(SLOTS)).astype(np.int64)))
-    return size, of, out
-
-
-def _ratio(urls: list[str], counts: np.ndarray) -> np.ndarray:
-    """Mean log-likelihood difference per byte, accepted less rejected; 0 for an empty url."""
-    size, of, slots = _slots(urls)
-    if not len(of):
-        return np.zeros(len(urls))
-    logs = []
-    for table in counts:
-        p = np.full(len(of), 1 / 256)
-        for k, (pair, context) in enumerate(slots):
-            p = (table[k, 0][pair] + PULL * p) / (np.maximum(table[k, 1][context], table[k, 0][pair]) + PULL)
-        logs.append(np.log(p))
-    return np.bincount(of, logs[0] - logs[1], minlength=len(urls)) / np.maximum(size, 1)
-
-
-def learn(labelled: DataFrame, url: str, verdict: str) -> tuple[np.ndarray, float]:
-    """Counts (2, ORDER + 1, 2, SLOTS) of allowed and blocked URLs, and the calibrated cut. All labelled rows count."""
-    shape = (2, ORDER + 1, 2, SLOTS)
-    rows = labelled.select(F.col(url).alias("url"), (F.col(verdict) == "block").cast("int").alias("bad")).where("url is not null and bad is not null")
-
-    def count(batches: Iterator[pd.DataFrame]) -> np.ndarray:
-        total = np.zeros(shape, dtype=np.int64)
-        for batch in batches:
-            for bad in (0, 1):
-                _, _, slots = _slots(list(batch["url"][batch["bad"] == bad]))
-                for k, (pair, context) in enumerate(slots):
-                    total[bad, k, 0] += np.bincount(pair, minlength=SLOTS)
-                    total[bad, k, 1] += np.bincount(context, minlength=SLOTS)
-        return total.ravel()
-
-    counts = sum_arrays(rows, count, int(np.prod(shape))).reshape(shape)
-    seen = counts[:, 0, 1].sum(axis=1)
-    if not seen.all():
-        return counts, 0.0 if seen[0] or not seen[1] else float("inf")
-    shared = labelled.sparkSession.sparkContext.broadcast(counts)
-
-    def spread(batches: Iterator[pd.DataFrame]) -> np.ndarray:
-        total = np.zeros((2, BINS), dtype=np.int64)
-        for batch in batches:
-            at = np.clip((_ratio(list(batch["url"]), shared.value) + RANGE) / (2 * RANGE) * BINS, 0, BINS - 1).astype(int)
-            np.add.at(total, (batch["bad"].to_numpy(), at), 1)
-        return total.ravel()
-
-    good, bad = sum_arrays(rows, spread, 2 * BINS).reshape(2, BINS)
+    out = joined.copy()
+    for k in range(1, ORDER + 1):
+        before = np.zeros(len(joined), dtype=np.int64)
+        before[k:] = joined[: len(joined) - k]
+        out |= np.where(place >= k, before, 0) << (BITS * k)
+    return of, out
+
+
+def _scores(windows: DataFrame) -> DataFrame:
+    """(window, score): log-likelihood difference of a window's byte, accepted less rejected (windows: window, good, bad).
+
+    Counts are exact for every context of every order: grouped tables, joined from the shortest context to the longest.
+    """
+    chances = None
+    sums = [F.sum("good").alias("good"), F.sum("bad").alias("bad")]
+    # Each order's counts come from the next longer one's.
+    tables = [windows.groupBy("window").agg(*sums)]
+    for k in range(ORDER - 1, -1, -1):
+        tables.insert(0, tables[0].groupBy(F.col("window").bitwiseAND((1 << BITS * (k + 1)) - 1).alias("window")).agg(*sums))
+    for k, table in enumerate(tables):
+        pairs = table.withColumn("context", F.shiftright("window", BITS))
+        contexts = pairs.groupBy("context").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+        # All windows of the two shortest orders are fewer than 2^17, whatever the input.
+        near = F.broadcast if k < 2 else lambda x: x
+        rows = pairs.join(near(contexts), "context")
+        if chances is None:
+            rows = rows.withColumns({"p": F.lit(1 / 256), "q": F.lit(1 / 256)})
+        else:
+            short = F.broadcast(chances) if k < 3 else chances
+            rows = rows.withColumn("shorter", F.col("window").bitwiseAND((1 << BITS * k) - 1)).join(short.withColumnRenamed("window", "shorter"), "shorter")
+        p = (F.col("good") + PULL * F.col("p")) / (F.col("all_good") + PULL)
+        q = (F.col("bad") + PULL * F.col("q")) / (F.col("all_bad") + PULL)
+        chances = written(rows.select("window", p.alias("p"), q.alias("q")))
+    return chances.select("window", F.ln(F.col("p") / F.col("q")).alias("score"))
+
+
+def learn(parsed: DataFrame, url: str, verdict: str) -> tuple[DataFrame, float]:
+    """(url, ratio) of all distinct URLs, and the calibrated cut. All labelled rows count.
+
+    ratio: mean log-likelihood difference per byte. URLs are taken in chunks of about CHUNK, and of a chunk each distinct
+    window is one row, so that no common host weighs on one task.
+    """
+    bad = F.sum((F.col(verdict) == "block").cast("long"))
+    good = F.sum((F.col(verdict) == "allow").cast("long"))
+    rows = parsed.where(F.length(F.col(url)) > 0).groupBy(F.col(url).alias("url")).agg(F.coalesce(good, F.lit(0)).alias("good"), F.coalesce(bad, F.lit(0)).alias("bad"))
+    rows = written(rows)
+    chunks = max(1, -(-rows.count() // CHUNK))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("url"), F.lit(chunks)))
+
+    def count(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+        of, windows = _windows(list(held["url"]))
+        found, at = np.unique(windows, return_inverse=True)
+        sums = [np.bincount(at, held[c].to_numpy()[of], minlength=len(found)).astype(np.int64) for c in ("good", "bad")]
+        return pd.DataFrame({"chunk": key[0], "window": found, "good": sums[0], "bad": sums[1]})
+
+    def score(key: tuple, held: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        of, windows = _windows(list(held["url"]))
+        table = table.sort_values("window")
+        got = table["score"].to_numpy()[np.searchsorted(table["window"].to_numpy(), windows)]
+        size = np.bincount(of, minlength=len(held))
+        return pd.DataFrame({"url": held["url"], "good": held["good"], "bad": held["bad"], "ratio": np.bincount(of, got, minlength=len(held)) / np.maximum(size, 1)})
+
+    windows = written(rows.groupBy("chunk").applyInPandas(count, "chunk long, window long, good long, bad long"))
+    scored = windows.select("chunk", "window").join(_scores(windows), "window")
+    ratios = written(rows.groupBy("chunk").cogroup(scored.groupBy("chunk")).applyInPandas(score, "url string, good long, bad long, ratio double"))
+    at = F.least(F.greatest((F.col("ratio") + RANGE) / (2 * RANGE) * BINS, F.lit(0)), F.lit(BINS - 1)).cast("int")
+    good, bad = np.zeros(BINS, dtype=np.int64), np.zeros(BINS, dtype=np.int64)
+    for r in ratios.groupBy(at.alias("at")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect():
+        good[r["at"]], bad[r["at"]] = r["good"], r["bad"]
+    ratios = ratios.select("url", "ratio")
+    if not good.any() or not bad.any():
+        return ratios, 0.0 if good.any() or not bad.any() else float("inf")
     # Cut before bin i: blocked below, allowed from it on. The middle of the best places.
     right = np.concatenate([[0], np.cumsum(bad)]) / max(1, bad.sum()) + 1 - np.concatenate([[0], np.cumsum(good)]) / max(1, good.sum())
     best = np.flatnonzero(right >= right.max() - 1e-12)
-    return counts, float(best[len(best) // 2] / BINS * 2 * RANGE - RANGE)
+    return ratios, float(best[len(best) // 2] / BINS * 2 * RANGE - RANGE)
 
 
 def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -131,15 +152,9 @@ def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, st
     parsed = pages.withColumn(h, F.coalesce(host_of(F.col(url)), F.lit(""))).withColumn(p, F.coalesce(path_of(F.col(url)), F.lit("")))
     name, verdict = rule_of(F.col(h), F.col(p), rules)
     parsed = parsed.withColumns({r: name, v: verdict})
-    counts, cut = learn(parsed, url, v)
-    shared = pages.sparkSession.sparkContext.broadcast(counts)
-
-    @F.pandas_udf("double")
-    def ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for urls in batches:
-            yield pd.Series(_ratio([u or "" for u in urls], shared.value))
-
-    out = parsed.withColumn(s, ratio.asNondeterministic()(F.col(url)))
+    ratios, cut = learn(parsed, url, v)
+    u = fresh(parsed, "url")
+    out = parsed.join(ratios.select(F.col("url").alias(u), F.col("ratio").alias(s)), F.col(url) == F.col(u), "left").withColumn(s, F.coalesce(s, F.lit(0.0)))
     keep = [F.col(c) for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "ratio")]
     final = F.coalesce(F.col(v), F.when(F.col(s) >= cut, "allow").otherwise("block"))
     return out.select(*keep, F.col(h).alias("host"), F.col(p).alias("path"), F.col(r).alias("rule"), final.alias("verdict"), F.col(s).alias("ratio"))
