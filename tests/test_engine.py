@@ -1,5 +1,6 @@
 """Golden cases of the operators on small inputs."""
 
+import random
 import uuid
 
 import pytest
@@ -132,17 +133,57 @@ def test_chunks_cover_every_line(spark):
     assert chunking.token_batches([50, 60, 10, 200, 5], 100) == [0, 1, 1, 2, 3]
 
 
-SOURCE = "import os\nfrom a.b import c as d\n\n\nclass M(Base):\n    owner = models.ForeignKey('User')\n\n    def save(self):\n        '''Doc.'''\n        d()\n        self.x()\n\n\n@wrap\ndef f():\n    return M()\n"
+SOURCE = "import os\nfrom a.b import c as d\n\n\nclass M(BaseModel):\n    owner = models.ForeignKey('User')\n\n    def save(self):\n        '''Doc.'''\n        d()\n        self.x()\n\n\n@wrap\ndef f():\n    return M()\n"
 
 
 def test_python_sources():
     kinds = [(e["kind"], e["qualified"]) for e in chunking.python_entities(SOURCE)]
     assert kinds == [("class", "M"), ("function", "save"), ("method", "M.save"), ("function", "f")]
     edges = set(extract.python_edges("m.py", SOURCE))
-    assert {("m.py", "imports", "os"), ("m.py", "imports", "a.b::c"), ("m.py::M", "inherits", "Base"), ("m.py::M", "has_fk", "User"), ("m.py::M", "contains", "m.py::M.save"), ("m.py::M.save", "calls", "a.b::c"), ("m.py::f", "decorates", "wrap"), ("m.py::f", "calls", "m.py::M")} <= edges
+    assert {("m.py", "imports", "os"), ("m.py", "imports", "a.b::c"), ("m.py::M", "inherits", "BaseModel"), ("m.py::M", "has_fk", "User"), ("m.py::M", "contains", "m.py::M.save"), ("m.py::M.save", "calls", "a.b::c"), ("m.py::f", "decorates", "wrap"), ("m.py::f", "calls", "m.py::M")} <= edges
     assert chunking.python_entities("def (") == [] and extract.python_edges("x.py", "def (") == []
+    assert not any(e[1] == "has_fk" for e in extract.python_edges("m.py", SOURCE.replace("BaseModel", "Base")))
     assert extract.test_edges("tests/test_m.py", [("tests/test_m.py", "imports", "m::f")]) == [("tests/test_m.py", "tests", "m::f")]
-    assert extract.url_patterns("a/urls.py", "urlpatterns = [path('x/<int:pk>/', views.show, name='n')]") == [("x/<int:pk>/", "views.show", "n")]
+    assert extract.url_patterns("a/urls.py", "urlpatterns = [path('x/<int:pk>/', views.show, name='n')]") == [("/x/<int:pk>/", "views.show", "n", "")]
+    assert extract.url_patterns("urls.py", "path('api/', include('api.urls'))\nre_path('/x', V.as_view())") == [("/api/", "", "", "api.urls"), ("/x", "V.as_view", "", "")]
+
+
+@pytest.mark.parametrize("source", ["x " * 10 + "-" * 100_000 + "1", "(" * 100_000, "f" + ".a" * 50_000 + "()", "x = " + "+".join(["a()"] * 30_000), "x\0y"])
+def test_sources_that_do_not_parse_or_nest_deeply(spark, source):
+    assert chunking.python_entities(source) == [] and extract.url_patterns("urls.py", source) == []
+    assert set(extract.python_edges("a.py", source)) <= {("a.py", "calls", "a"), ("a.py", "calls", "f" + ".a" * 50_000)}
+    got = chunking.chunked(spark.createDataFrame([("a.py", source)], "file_path string, content string"), most=100_000).collect()
+    assert [r["kind"] for r in got] == ["section"] and got[0]["content"].split() == source.split()
+
+
+def test_splits_are_linear_and_greedy():
+    rng = random.Random(3)
+    for _ in range(200):
+        lines = [" ".join(["w"] * rng.choice([0, 0, 1, 2, 3, 9])) for _ in range(rng.randint(1, 30))]
+        most, overlap = rng.randint(2, 8), rng.randint(0, 4)
+        spans = chunking.line_spans(lines, most, overlap)
+        n = lambda a, b: sum(len(x.split()) for x in lines[a:b])
+        assert spans[0][0] == 0 and spans[-1][1] == len(lines) and all(x[1] < y[1] and x[0] <= y[0] <= x[1] for x, y in zip(spans, spans[1:]))
+        for (a, b), after in zip(spans, [*spans[1:], None]):
+            assert n(a, b) <= most or b == a + 1
+            assert b == len(lines) or n(a, b + 1) > most  # nothing more would have fitted
+            if after and after[0] < b:
+                assert n(after[0], b) <= overlap
+        assert "\n".join(chunking.line_split("\n".join(lines), most)).split() == " ".join(lines).split()
+    assert chunking.word_split("a\tb c  d", 2) == ["a\tb", "c  d"]
+    assert len(chunking.word_split("w " * 300_000, 1000)) == 301 - 1
+
+
+def test_script_entities():
+    source = "import x from 'y'\nexport class A extends B {\n  go() { return '}' } // }\n}\nconst f = (a) => {\n  return `{`\n}\nfunction g() {}\nconst n = 1\n"
+    got = [(e["kind"], e["qualified"], e["line_start"], e["line_end"]) for e in chunking.script_entities(source)]
+    assert got == [("class", "A", 2, 4), ("function", "f", 5, 7), ("function", "g", 8, 8)]
+
+
+def test_tokens_of_a_file_of_merges():
+    path = __import__("public_tokenizers").path("byte_bpe_50k.json")
+    assert chunking.Tokens(path)("hello world") == 2
+    assert all(chunking.Tokens(path)(c) <= 20 for c in chunking.recursive_split("some words of a text\n" * 50, 20, count=chunking.Tokens(path)))
 
 
 def test_script_sources():
