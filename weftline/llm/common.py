@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Multipliers of the 64-bit mixers: odd constants of the splitmix64 finaliser.
@@ -17,9 +17,11 @@ MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir. Unset, a temporary folder serves a local session only: other machines couldn't read it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/weftline/{uuid.uuid4().hex}"
@@ -96,23 +98,24 @@ def sum_arrays(df: DataFrame, fold: Callable[[Iterator[pd.DataFrame]], np.ndarra
     return out
 
 
-def bounded_sample(df: DataFrame, by: Column, per_class: int, key: Column, max_classes: int = 1000) -> pd.DataFrame:
-    """At most per_class rows of each class (column by), those of the smallest hashed key: the same rows on each run.
+def bounded_sample(df: DataFrame, by: Column, per_class: int, key: Column, payload: Column, max_classes: int = 1000, max_bytes: int = 1 << 25) -> DataFrame:
+    """(cls, rank, payload): of each class (column by) the per_class distinct keys of the smallest hash, the same on each run.
 
-    Used to fit models only. One pass counts the classes; a second fetches about 1.3 x per_class rows of each.
+    Used to fit models only. Repeated keys count once, with the payload (a string) of the least hash; null classes, keys and
+    payloads are left out. A payload of more than 1/64 of max_bytes is passed over, and a class ends where its payloads come to
+    max_bytes: so both rows and bytes are bounded. One pass counts distinct keys, approximately; the next takes those below a hash.
     """
-    cls, rank = fresh(df, "cls"), fresh(df, "rank")
-    tagged = df.withColumn(cls, by).where(F.col(cls).isNotNull()).withColumn(rank, F.shiftrightunsigned(F.xxhash64(key), 1) / F.lit(float(2**63)))
-    counts = {r[0]: r[1] for r in tagged.groupBy(cls).count().limit(max_classes + 1).collect()}
+    rank = F.shiftrightunsigned(F.xxhash64(key, F.lit(41)), 2)
+    tagged = df.select(by.alias("cls"), rank.alias("rank"), payload.alias("payload"), key.isNotNull().alias("known"))
+    tagged = tagged.where(F.col("cls").isNotNull() & F.col("known") & (F.octet_length("payload") <= max_bytes // 64)).drop("known")
+    counts = tagged.groupBy("cls").agg(F.approx_count_distinct("rank", 0.02).alias("n")).limit(max_classes + 1).collect()
     if len(counts) > max_classes:
         raise ValueError(f"more than {max_classes} classes to learn")
-    if not counts:
-        return tagged.limit(0).toPandas().rename(columns={cls: "cls", rank: "rank"})
-    want = None
-    for value, n in counts.items():
-        share = min(1.0, (1.3 * per_class + 60) / n)
-        one = (F.col(cls) == F.lit(value)) & (F.col(rank) < F.lit(share))
-        want = one if want is None else want | one
-    found = tagged.where(want).toPandas().rename(columns={cls: "cls", rank: "rank"})
-    found = found.sort_values(["cls", "rank"], kind="stable")
-    return found[found.groupby("cls").cumcount() < per_class].reset_index(drop=True)
+    want = F.lit(False)
+    for cls, n in counts:
+        share = (1.3 * per_class + 60) / max(n, 1)
+        want = want | (F.col("cls") == F.lit(cls)) & (F.col("rank") < F.lit(int(min(1.0, share) * (1 << 62))))
+    one = tagged.where(want).groupBy("cls", "rank").agg(F.min_by("payload", F.xxhash64("payload")).alias("payload"))
+    first = Window.partitionBy("cls").orderBy("rank")
+    one = one.withColumns({"n": F.row_number().over(first), "held": F.sum(F.octet_length("payload")).over(first)})
+    return one.where((F.col("n") <= per_class) & (F.col("held") <= max_bytes)).select("cls", "rank", "payload")

@@ -2,43 +2,78 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_sample, fresh, slabs
+from weftline.llm.common import bounded_sample, fresh, slabs, written
 
-#: Documents per language that dictionaries are cut from, characters of each, and bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 400, 2000, 64 * 1024
+#: Distinct texts per language that are learned from, bytes of a dictionary, bytes of a piece of it.
+SAMPLE_DOCS, DICT_BYTES, PIECE = 1200, 64 * 1024, 256
+#: Of those texts, every so manieth is kept out of the dictionary to set the margin on; share of rightly named ones that may go;
+#: the least margin, as few texts tell little.
+CALIBRATE, LOST, LEAST = 4, 0.003, 0.5
 #: Bytes coded at once. Long texts are coded block by block, so that the dictionary and not the text itself decides to the end.
 BLOCK, LEVEL, MIN_MATCH = 4096, 6, 3
-#: Bits by which the best language must beat the next, in parts of the best: below it the text is rejected.
-MARGIN = 0.002
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", usable: Column | None = None, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """A raw-content dictionary for each non-null lang, of at most sample_docs distinct texts (bounded sample, by text hash)."""
+@dataclass
+class Model:
+    """A dictionary for each language; the least margin, in bytes to the root of the compressed bytes, of a text that is kept."""
+
+    dicts: dict[str, bytes]
+    margin: float = 0.0
+
+
+def cut_up(text: str) -> list[bytes]:
+    """A lower-cased text in pieces of about PIECE bytes, cut at blanks: all of it."""
+    data, out, at = text.lower().encode("utf-8", "replace"), [], 0
+    while at < len(data):
+        end = at + PIECE
+        if end < len(data):
+            blank = data.rfind(b" ", at + 1, end)
+            end = blank if blank > 0 else end
+        out.append(data[at:end])
+        at = end
+    return out
+
+
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", usable: Column | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """Dictionaries of all non-null languages, from at most sample_docs distinct whole texts of each (see bounded_sample).
+
+    Texts are cut into pieces, and the pieces of the least hashes make a dictionary: so every part of every text has the same
+    chance. Each fourth text is left out; on these the margin is set below which LOST of the rightly named texts fall.
+    Null and blank texts and null languages are passed over; repeated texts count once; an empty table gives no dictionary.
+    """
     rows = docs.where(F.length(F.trim(F.col(text))) > 0)
     if usable is not None:
         rows = rows.where(usable)
-    rows = rows.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("text"), F.col(lang).cast("string").alias("lang"))
-    got = bounded_sample(rows, F.col("lang"), sample_docs, F.col("text"))
-    out = {}
-    for name, own in got.groupby("cls"):
-        held, size, seen = [], 0, set()
-        for t in own["text"]:
-            data = t.lower().encode("utf-8", "replace")
-            if (h := hashlib.blake2b(data, digest_size=8).digest()) not in seen and size < DICT_BYTES:
-                seen.add(h)
-                held.append(data)
-                size += len(data)
-        out[str(name)] = b"\n".join(held)[:DICT_BYTES]
-    return dict(sorted(out.items()))
+    sample = written(bounded_sample(rows, F.col(lang).cast("string"), sample_docs, F.col(text), F.col(text)))
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(c, p, xxhash.xxh3_64_intdigest(p) >> 1) for c, t in zip(batch["cls"], batch["payload"], strict=True) for p in set(cut_up(t))]
+            yield pd.DataFrame(found, columns=["cls", "piece", "h"])
+
+    kept_out = F.pmod(F.col("rank"), F.lit(CALIBRATE)) == 0
+    first = F.row_number().over(Window.partitionBy("cls").orderBy("h"))
+    cut = sample.where(~kept_out).mapInPandas(pieces, "cls string, piece binary, h long").dropDuplicates(["cls", "h"])
+    got = cut.withColumn("n", first).where(F.col("n") <= DICT_BYTES // PIECE * 3 // 2).select("cls", "n", "piece").toPandas().sort_values(["cls", "n"])
+    model = Model({str(name): b"".join(own["piece"])[:DICT_BYTES] for name, own in got.groupby("cls")})
+    if len(model.dicts) < 2:
+        return model
+    # The margins of the texts that were kept out, judged as any others.
+    tried = identify(sample.where(kept_out).select("cls", "payload"), model, "payload")
+    right = np.sort(tried.where("lang_pred = cls").select("margin").toPandas()["margin"].to_numpy())
+    if len(right):
+        model.margin = max(LEAST, float(right[int(LOST * len(right))]))
+    return model
 
 
 class Classifier:
@@ -59,32 +94,37 @@ class Classifier:
         return np.array([sum(len(c.compress(b)) for b in blocks) for c in self.coders], dtype=float)
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score and margin; `und`, 0, 0 without letters or without languages. Ties go to the first name."""
+        """Language, score and margin; `und`, 0, 0 without letters or without languages. Ties go to the first name.
+
+        The margin is the lead over the next language in compressed bytes, to the root of the text's compressed bytes: by chance
+        alone a lead grows with that root, so it says the same for short and long texts.
+        """
         if not self.langs or not text or not any(c.isalpha() for c in text):
             return "und", 0.0, 0.0
         n = self.sizes(text)
         k = int(n.argmin())
         rest = np.delete(n, k)
-        margin = float((rest.min() - n[k]) / max(n[k], 1)) if len(rest) else 1.0
+        margin = float((rest.min() - n[k]) / np.sqrt(max(n[k], 1))) if len(rest) else float("inf")
         odds = np.exp(-(n - n[k]) / max(n[k], 1) * 20)
         return self.langs[k], float(odds[k] / odds.sum()), margin
 
 
-def identify(docs: DataFrame, dicts: dict[str, bytes], text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """Adds lang_pred (`und` for null or letterless texts), score (0 to 1), margin and rejected (und, or margin too narrow).
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Adds lang_pred (`und` for null, empty or letterless texts), score (0 to 1), margin and rejected (und, or margin too narrow).
 
-    Map-only over whole texts; the dictionaries are of fixed size. Columns of the same names are replaced.
+    Map-only over whole texts; the dictionaries are of fixed size. Columns of the same names are replaced. Repeated rows get
+    the same answer each; ties go to the first language by name; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(dicts)
+    shared = docs.sparkSession.sparkContext.broadcast(model.dicts)
 
     @F.pandas_udf("lang_pred string, score double, margin double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = Classifier(shared.value)
+        classifier = Classifier(shared.value)
         for texts in batches:
-            yield pd.DataFrame([model.predict(t) for run in slabs(texts) for t in run], columns=["lang_pred", "score", "margin"])
+            yield pd.DataFrame([classifier.predict(t) for run in slabs(texts) for t in run], columns=["lang_pred", "score", "margin"])
 
     got = fresh(docs, "lang")
     out = docs.withColumn(got, judge.asNondeterministic()(F.col(text)))
     keep = [F.col(c) for c in docs.columns if c.lower() not in ("lang_pred", "score", "margin", "rejected")]
-    rejected = (F.col(f"{got}.lang_pred") == "und") | (F.col(f"{got}.margin") < margin)
+    rejected = (F.col(f"{got}.lang_pred") == "und") | (F.col(f"{got}.margin") < model.margin)
     return out.select(*keep, F.col(f"{got}.lang_pred"), F.col(f"{got}.score"), F.col(f"{got}.margin"), rejected.alias("rejected"))

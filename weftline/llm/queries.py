@@ -44,9 +44,9 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    dicts = langid.learn(docs, usable=F.pmod(crc_of(F.col("doc_id")), F.lit(4)) != 2)
+    model = langid.learn(docs, usable=F.pmod(crc_of(F.col("doc_id")), F.lit(4)) != 2)
     held = F.coalesce(F.pmod(crc_of(F.col("doc_id")), F.lit(4)) == 2, F.lit(False))
-    return langid.identify(docs.select("doc_id", "text"), dicts).select("doc_id", held.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

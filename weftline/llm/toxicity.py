@@ -1,4 +1,4 @@
-"""Toxicity scores of whole texts by a small convolutional classifier, trained in numpy on a bounded sample.
+"""Toxicity scores of whole texts by a small convolutional classifier, trained in numpy on a bounded sample, in one task.
 
 A word is embedded by four hashed rows side by side: two hashes of the word (a collision in one is told apart by the other)
 and one each of its first five and seven letters. Filters of several widths run over the word sequence; each keeps its largest
@@ -7,6 +7,7 @@ response over the whole text, and a linear layer turns these into a score. Cut-o
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import bounded_sample, fresh, slabs
@@ -22,9 +23,9 @@ from weftline.llm.common import bounded_sample, fresh, slabs
 WORD = re.compile(r"[^\W\d_]+")
 #: Rows of each hashed table, numbers a row, filter widths, filters of each width.
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 6, (1, 2, 3), 12
-#: At most so many rows of each label are learned from, a third of them to calibrate with; there clean rows weigh more, as they are more.
-CLEAN_WEIGHT = 9
-SAMPLE_ROWS = 2400
+#: At most so many documents of each label, and bytes of them, are learned from (a text of over 1/64 of the bytes is passed over);
+#: a third is calibrated with, and there clean rows weigh more, as they are more.
+SAMPLE_ROWS, SAMPLE_BYTES, CLEAN_WEIGHT = 2400, 1 << 24, 9
 CUT, EPOCHS, RATE = 0.7, 5, 0.01
 #: A word of a text belongs to the language in which it is most frequent among so many common words.
 COMMON = 200
@@ -159,9 +160,9 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: i
 
 
 def _cut(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The cut-off with the best F1 on these rows, in the middle of the gap that gives it; 0 without both labels."""
+    """The cut-off with the best F1 on these rows, in the middle of the gap that gives it; above or below all where one label is missing."""
     if not len(logits) or labels.min() == labels.max():
-        return 0.0
+        return -40.0 if len(logits) and labels.min() == 1 else 40.0
     order = np.argsort(-logits, kind="stable")
     hit = np.cumsum(labels[order])
     miss = np.cumsum(1 - labels[order]) * CLEAN_WEIGHT
@@ -247,27 +248,37 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z - self.model.cuts[lang], -30, 30) - np.log(CUT / (1 - CUT))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fits on at most sample_rows labelled documents of each label. labels: doc_id, toxic (0 or 1; other rows are passed over).
 
-    usable: a condition on the label rows that may be learned from. The ids of the sample are bounded, so they are broadcast.
+    usable: a condition on the label rows that may be learned from. The ids of the sample are bounded by sample_rows, so they are
+    broadcast; the texts are bounded by sample_bytes a label and go to one task, which trains; the driver gets the model alone.
+    Repeated ids count once for each label, with the text of the least hash; null texts count as empty; without rows the
+    model knows nothing and calls nothing toxic.
     """
-    spark = docs.sparkSession
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     if usable is not None:
         marked = marked.where(usable)
-    ids = bounded_sample(marked.select("doc_id", F.col("toxic").cast("int").alias("toxic")), F.col("toxic"), sample_rows, F.col("doc_id"))
-    if ids.empty:
-        return train([], np.zeros(0), [])
-    ids = ids[["doc_id", "toxic", "rank"]].drop_duplicates("doc_id")
-    some = spark.createDataFrame(ids, "doc_id long, toxic int, rank double")
-    text = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
-    got = text.join(F.broadcast(some), "doc_id").toPandas().sort_values(["rank", "doc_id"], kind="stable").drop_duplicates("doc_id")
-    return train([t or "" for t in got["text"]], got["toxic"].to_numpy(float), list(got["lang"]))
+    name = F.col("doc_id").cast("string")
+    ids = bounded_sample(marked, F.col("toxic").cast("int"), sample_rows, name, name).select(F.col("payload").cast("long").alias("_id"), "cls", "rank")
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    text = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), lang.alias("lang")).where(F.octet_length("text") <= sample_bytes // 64)
+    one = text.join(F.broadcast(ids), "_id").groupBy("_id", "cls", "rank").agg(F.min_by(F.struct("text", "lang"), F.xxhash64("text")).alias("x"))
+    held = F.sum(F.octet_length("x.text")).over(Window.partitionBy("cls").orderBy("rank", "_id"))
+    rows = one.withColumn("held", held).where(F.col("held") <= sample_bytes).select("_id", "cls", "rank", "x.text", "x.lang")
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat([*batches, pd.DataFrame({"_id": [], "cls": [], "rank": [], "text": [], "lang": []})]).sort_values(["rank", "_id", "cls"], kind="stable")
+        model = train(list(got["text"]), got["cls"].to_numpy(float), [x if isinstance(x, str) else None for x in got["lang"]])
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    fitted = rows.repartition(1).mapInPandas(fit, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else train([], np.zeros(0), [])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 from 0.7 on) for whole texts; null scores as the empty text. Map-only.
+    """Adds score (0 to 1) and predicted (1 from 0.7 on) for whole texts; null scores as the empty text. Map-only. Repeated rows
+    get the same score each; an empty table gives no rows.
 
     Only the text is an input: the language that picks the cut-off is guessed from its words. Same-named columns are replaced.
     """
