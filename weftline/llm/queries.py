@@ -28,7 +28,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.linked(table(spark, sf_dir, "conversations"))
+    return chat.ordered(chat.linked(table(spark, sf_dir, "conversations")))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
