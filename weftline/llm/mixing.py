@@ -4,9 +4,11 @@ Each source's documents fall into blocks by hash. A source whose target is r tim
 once in part; a draw is one block (at its end a part of one, cut by hash). The tree hands the exact numbers of draws of all
 sources down to output shards: each node gives its left half as many draws as it has room for, split over the sources by one
 multivariate hypergeometric draw, so that every shard is a sample without replacement of the whole mix. A shard's draws of a
-source are a run of that source's permuted blocks: runs are disjoint. Within a shard, documents are put in hashed order.
+source are a run of that source's permuted blocks: runs are disjoint. shuffled() then brings each shard together, in slices of
+bounded size, and shuffles within them.
 
-Two passes gather sums per block (fixed numbers of blocks a source), the third marks documents: no document is shuffled.
+Two passes gather sums per block and the third marks documents: for the plan no document is shuffled. The driver holds a few
+numbers for each source; blocks are planned in tasks, a source in each group.
 """
 
 from __future__ import annotations
@@ -15,16 +17,17 @@ import hashlib
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fresh
+from weftline.llm.common import fresh, written
 
 #: Weights by place of the source in code-point order, null last, repeating; no source is taken above so many times its size.
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Blocks of a source, parts of the block at the end of a source's draws, output shards.
-BLOCKS, PARTS, SHARDS = 256, 4096, 16
-#: The plan (a row per source and block) is broadcast up to so many rows; a larger one is joined by shuffling.
+#: Blocks of a source, parts of the block at the end of a source's draws, output shards, words of a slice of a shard.
+BLOCKS, PARTS, SHARDS, SLICE_WORDS = 256, 4096, 16, 4_000_000
+#: The plan (a row per source and block) is broadcast up to so many rows; beyond it the same join shuffles. The result is the same.
 BROADCAST_ROWS = 200_000
 WORD_RUN = r"[^\x20\x09-\x0D]+"
 
@@ -73,84 +76,110 @@ def split(draws: np.ndarray, shards: int, seed: int = 0) -> np.ndarray:
     return out
 
 
+def drawn_in_part(words: np.ndarray, order: np.ndarray, rest: float) -> tuple[list[int], int, float]:
+    """Blocks of a draw of about `rest` words: in permuted order each that still fits; the smallest that doesn't (-1: none); what is left."""
+    chosen, over = [], []
+    for b in order if rest > 0 else ():
+        if words[b] <= rest:
+            chosen.append(int(b))
+            rest -= words[b]
+        else:
+            over.append(int(b))
+    return chosen, min(over, key=lambda b: words[b]) if over else -1, rest
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, shards: int = SHARDS, seed: int = 7) -> DataFrame:
     """One row per document: its columns, size, source_size, target (both of its source), taken (size x copies), shards.
 
     shards: the output shard of each copy. Null text: size 0; null source: a source of its own, the last; repeated rows are
-    rows of their own, hashed alike; an empty table gives no rows. Columns of the same names as those added are replaced.
+    rows of their own, hashed alike, so all or none of a part are drawn; an empty table gives no rows. Columns of the same names
+    as those added are replaced.
     """
     spark = docs.sparkSession
-    size, block, part, src = (fresh(docs, x) for x in ("size", "block", "part", "src"))
-    h = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.octet_length(F.col(text)))
-    rows = docs.withColumns({size: word_count(F.col(text)), block: F.pmod(h, F.lit(BLOCKS)).cast("int"), part: F.pmod(F.shiftright(h, 20), F.lit(PARTS)).cast("int")})
-    sums = rows.groupBy(F.col(source).cast("string").alias(src), block).agg(F.sum(size).alias("words")).collect()
-    names = sorted({r[0] for r in sums if r[0] is not None}, key=lambda s: [ord(c) for c in s]) + ([None] if any(r[0] is None for r in sums) else [])
-    at = {s: i for i, s in enumerate(names)}
-    words = np.zeros((len(names), BLOCKS), dtype=np.int64)
-    for r in sums:
-        words[at[r[0]], r[1]] = r["words"]
-    totals = words.sum(axis=1)
-    goal = targets([int(x) for x in totals], [weights[i % len(weights)] for i in range(len(names))])
-    whole = [int(g // t) if t else 0 for g, t in zip(goal, totals, strict=True)]
-    orders = [_rng(seed, "order", s).permutation(BLOCKS) for s in names]
-    drawn_part, edge, need = [], {}, {}
-    for i, s in enumerate(names):
-        rest, chosen, over = goal[i] - whole[i] * totals[i], [], []
-        for b in orders[i] if rest > 0 else ():
-            if words[i][b] <= rest:  # in permuted order, each block that still fits
-                chosen.append(int(b))
-                rest -= words[i][b]
-            else:
-                over.append(int(b))
-        drawn_part.append(chosen)
-        if over:
-            edge[s], need[s] = min(over, key=lambda b: words[i][b]), rest
-    # The block at the end of the part-draw: its documents up to a hashed bound, the one that comes nearest.
-    bound = dict.fromkeys(edge, 0)
-    if edge:
-        marks = spark.createDataFrame([(at[s], s, b) for s, b in edge.items()], "i int, s string, b int")
-        slim = rows.select(F.col(source).cast("string").alias("_s"), F.col(block).alias("_b"), F.col(part).alias("part"), F.col(size).alias("size"))
-        ends = slim.join(F.broadcast(marks), F.col("_s").eqNullSafe(F.col("s")) & (F.col("_b") == F.col("b")))
-        parts: dict = {s: np.zeros(PARTS, dtype=np.int64) for s in edge}
-        for r in ends.groupBy("i", "part").agg(F.sum("size").alias("words")).collect():
-            parts[names[r["i"]]][r[1]] = r["words"]
-        for s, p in parts.items():
-            upto = np.concatenate([[0], np.cumsum(p)])
-            bound[s] = int(np.abs(upto - need[s]).argmin())
-            if bound[s]:
-                drawn_part[at[s]].append(edge[s])
-    draws = np.array([whole[i] * BLOCKS + len(drawn_part[i]) for i in range(len(names))], dtype=np.int64)
+    size, block, part = (fresh(docs, x) for x in ("size", "block", "part"))
+    h = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.xxhash64(F.col(text)))
+    cut = docs.withColumns({block: F.pmod(h, F.lit(BLOCKS)).cast("int"), part: F.pmod(F.shiftright(h, 20), F.lit(PARTS)).cast("int")})
+    name = F.col(source).cast("string")
+    sums = written(cut.groupBy(name.alias("src"), F.col(block).alias("block")).agg(F.sum(word_count(F.col(text))).alias("words")))
+    totals = {r[0]: r[1] for r in sums.groupBy("src").agg(F.sum("words")).collect()}
+    names = sorted((x for x in totals if x is not None), key=lambda x: [ord(c) for c in x]) + [None] * (None in totals)
+    goal = targets([int(totals[x]) for x in names], [weights[i % len(weights)] for i in range(len(names))])
+    whole = [int(g // totals[x]) if totals[x] else 0 for g, x in zip(goal, names, strict=True)]
+    sources = spark.createDataFrame([(x, i, int(totals[x]), float(goal[i]), whole[i]) for i, x in enumerate(names)], "src_name string, i int, total long, goal double, whole int")
+
+    def order(i: int, name: str | None) -> np.ndarray:
+        return _rng(seed, "order", name).permutation(BLOCKS)
+
+    def chosen(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        words = np.zeros(BLOCKS, dtype=np.int64)
+        words[rows["block"]] = rows["words"]
+        turn = order(group[0], rows["src"].iat[0])
+        got, edge, need = drawn_in_part(words, turn, rows["goal"].iat[0] - rows["whole"].iat[0] * rows["total"].iat[0])
+        place, nth = np.argsort(turn), np.full(BLOCKS, -1)
+        nth[got] = np.arange(len(got))
+        kept = [b for b in range(BLOCKS) if words[b] or b == 0]
+        return pd.DataFrame({"i": group[0], "block": kept, "place": place[kept], "nth": nth[kept], "edge": [b == edge for b in kept], "need": need, "drawn": len(got)})
+
+    blocks = sums.join(sources, F.col("src").eqNullSafe(F.col("src_name"))).select("i", "src", "block", "words", "total", "goal", "whole")
+    blocks = written(blocks.groupBy("i").applyInPandas(chosen, "i int, block int, place int, nth int, edge boolean, need double, drawn int"))
+
+    # The block at the end of a part-draw: its documents up to a hashed bound, the one that comes nearest.
+    def bounded(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = np.zeros(PARTS, dtype=np.int64)
+        parts[rows["part"]] = rows["words"]
+        upto = np.concatenate([[0], np.cumsum(parts)])
+        return pd.DataFrame({"i": [group[0]], "bound": [int(np.abs(upto - rows["need"].iat[0]).argmin())]})
+
+    edges = blocks.where("edge").join(sources, "i").select("i", F.col("block").alias("edge_block"), "need", "src_name")
+    ends = cut.select(name.alias("src"), F.col(block).alias("block"), F.col(part).alias("part"), F.col(text).alias("text")).join(edges, F.col("src").eqNullSafe(F.col("src_name")) & (F.col("block") == F.col("edge_block")))
+    ends = ends.groupBy("i", "part", "need").agg(F.sum(word_count(F.col("text"))).alias("words"))
+    bounds = written(ends.groupBy("i").applyInPandas(bounded, "i int, bound int"))
+    counts = blocks.groupBy("i").agg(F.max("drawn").alias("drawn")).join(bounds, "i", "left").select("i", "drawn", F.coalesce("bound", F.lit(0)).alias("bound"))
+    held = {r["i"]: r for r in counts.collect()}
+    draws = np.array([whole[i] * BLOCKS + held[i]["drawn"] + (held[i]["bound"] > 0) for i in range(len(names))], dtype=np.int64)
     by_shard = split(draws, shards, seed) if len(names) else np.zeros((shards, 0), dtype=np.int64)
-    plan = []
-    for i, s in enumerate(names):
-        shard_of = np.repeat(np.arange(shards), by_shard[:, i])
-        place = np.empty(BLOCKS, dtype=np.int64)
-        place[orders[i]] = np.arange(BLOCKS)
-        part_place = {b: k for k, b in enumerate(drawn_part[i])}
-        for b in range(BLOCKS):
-            if words[i][b] or b == 0:
-                copies = [int(shard_of[c * BLOCKS + place[b]]) for c in range(whole[i])]
-                extra = whole[i] * BLOCKS + part_place.get(b, 0)
-                limit = 0 if b not in part_place else bound[s] if edge.get(s) == b else PARTS
-                plan.append((s, b, int(totals[i]), float(goal[i]), copies, int(shard_of[extra]) if limit else None, limit))
+    given = spark.createDataFrame([(i, held[i]["bound"], [int(x) for x in by_shard[:, i]]) for i in range(len(names))], "i int, bound int, counts array<long>")
+
+    def placed(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        shard_of = np.repeat(np.arange(shards), rows["counts"].iat[0])
+        bound, times = int(rows["bound"].iat[0]), int(rows["whole"].iat[0])
+        nth = np.where(rows["edge"] & (bound > 0), rows["drawn"], rows["nth"])
+        out = rows[["i", "block", "total", "goal"]].copy()
+        out["copies"] = [[int(shard_of[c * BLOCKS + p]) for c in range(times)] for p in rows["place"]]
+        out["extra"] = pd.array([int(shard_of[times * BLOCKS + n]) if n >= 0 else None for n in nth], dtype="Int32")
+        out["upto"] = np.where(nth < 0, 0, np.where(rows["edge"], bound, PARTS))
+        return out
+
+    plan = blocks.join(given, "i").join(sources.select("i", "total", "goal", "whole"), "i").groupBy("i").applyInPandas(placed, "i int, block int, total long, goal double, copies array<int>, extra int, upto int")
     fields = [fresh(docs, x) for x in ("plan_source", "plan_block", "plan_size", "plan_target", "plan_copies", "plan_extra", "plan_limit")]
-    kinds = ("string", "int", "long", "double", "array<int>", "int", "int")
-    table = spark.createDataFrame(plan, ", ".join(f"`{f}` {k}" for f, k in zip(fields, kinds, strict=True)))
-    s_, b_, size_, target_, copies_, extra_, limit_ = fields
-    if len(plan) <= BROADCAST_ROWS:
+    table = plan.join(sources.select("i", "src_name"), "i").select(*(F.col(c).alias(f) for c, f in zip(("src_name", "block", "total", "goal", "copies", "extra", "upto"), fields, strict=True)))
+    table = written(table)
+    s_, b_, size_, target_, copies_, extra_, limit_ = (F.col(f) for f in fields)
+    if len(names) * BLOCKS <= BROADCAST_ROWS:
         table = F.broadcast(table)
     # Blocks without words have no row of their own: they share that of block 0, as none of their documents has a size.
-    whole_block = F.when(F.col(size) > 0, F.col(block)).otherwise(0)
-    out = rows.withColumn(block, whole_block).join(table, F.col(source).cast("string").eqNullSafe(F.col(s_)) & (F.col(block) == F.col(b_)), "left")
-    extra = F.when((F.col(part) < F.col(limit_)) & F.col(extra_).isNotNull(), F.array(F.col(extra_))).otherwise(F.array().cast("array<int>"))
-    drawn = F.concat(F.coalesce(F.col(copies_), F.array().cast("array<int>")), extra)
+    rows = cut.withColumn(size, word_count(F.col(text))).withColumn(block, F.when(F.col(size) > 0, F.col(block)).otherwise(0))
+    out = rows.join(table, name.eqNullSafe(s_) & (F.col(block) == b_), "left")
+    none = F.array().cast("array<int>")
+    drawn = F.concat(F.coalesce(copies_, none), F.when((F.col(part) < limit_) & extra_.isNotNull(), F.array(extra_)).otherwise(none))
     own = ("size", "source_size", "target", "taken", "shards")
     keep = [F.col(c) for c in docs.columns if c.lower() not in own]
-    return out.select(*keep, F.col(size).alias("size"), F.col(size_).alias("source_size"), F.col(target_).alias("target"), (F.col(size) * F.size(drawn)).alias("taken"), drawn.alias("shards"))
+    about = {"words": int(sum(goal)), "shards": shards}
+    return out.select(*keep, F.col(size).alias("size"), size_.alias("source_size"), target_.alias("target"), (F.col(size) * F.size(drawn)).alias("taken"), drawn.alias("shards", metadata=about))
 
 
-def shuffled(mixed: DataFrame, key: str = "doc_id", seed: int = 7) -> DataFrame:
-    """The mix itself: a row for each copy of each document, with its shard, in hashed order within a shard's partition."""
-    shard, copy_no = "shard", "copy"
-    out = mixed.select(*[c for c in mixed.columns if c.lower() not in ("shards", "shard", "copy")], F.posexplode("shards").alias(copy_no, shard))
-    return out.sortWithinPartitions(shard, F.xxhash64(F.lit(seed + 1), F.col(key).cast("string"), F.col(copy_no)))
+def shuffled(mixed: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 7, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """The mix itself: a row for each copy of each document, with shard, slice and copy (columns of these names are replaced).
+
+    A shard is dealt out by hash to as many slices as keep each at about slice_words words; a slice lies in one partition and
+    its rows are in hashed order there, so partition p holds slice p % slices of shard p // slices, and nothing else.
+    Repeated rows stay, in one slice.
+    """
+    about = mixed.schema["shards"].metadata
+    slices = max(1, -(-about["words"] // (about["shards"] * slice_words)))
+    own = ("shards", "shard", "slice", "copy")
+    out = mixed.select(*[c for c in mixed.columns if c.lower() not in own], F.posexplode("shards").alias("copy", "shard"))
+    h = F.xxhash64(F.lit(seed + 1), F.col(key).cast("string"), F.col("copy"), F.xxhash64(F.col(text)))
+    out = out.withColumn("slice", F.pmod(h, F.lit(slices)).cast("int"))
+    dealt = out.repartitionById(about["shards"] * slices, (F.col("shard") * slices + F.col("slice")).cast("int"))
+    return dealt.sortWithinPartitions("shard", "slice", F.shiftrightunsigned(h, 7))
