@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import ann, chat, decontaminate, langid, licenses, mixing, neardup, tokens, toxicity, urls
+from weftline.llm.common import bounded_sample
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None, None, "a"), (2, "", "en", "a"), (2, "", "en", "a"), (3, "x" * 50_000, "en", None), (4, "one two three", "de", "b"), (None, "one two three", None, "b")]
@@ -48,7 +49,36 @@ def test_mix_meets_targets(spark):
     assert (out["taken"] <= 3 * out["size"]).all() and (out["taken"] == out["size"] * out["shards"].str.len()).all()
     again = mixing.mix(d.repartition(7)).toPandas().set_index("doc_id")["taken"].sort_index()
     assert (again == out.set_index("doc_id")["taken"].sort_index()).all()
-    assert mixing.shuffled(mixing.mix(d)).count() == out["shards"].str.len().sum()
+    bad = mixing.mix(d.withColumns({c: F.lit("own") for c in ("block", "part", "src", "i", "Size", "plan_block")})).toPandas().set_index("doc_id")["taken"].sort_index()
+    assert (bad == again).all()
+
+
+def test_shards_are_brought_together_and_shuffled(spark):
+    d = docs(spark)
+    mixed = mixing.mix(d, shards=4)
+    want = sorted((r["doc_id"], s) for r in mixed.collect() for s in r["shards"])
+    for words in (1 << 40, 2000):
+        out = mixing.shuffled(mixed.withColumn("copy", F.lit("own")), slice_words=words).withColumn("p", F.spark_partition_id()).toPandas()
+        assert sorted(zip(out["doc_id"], out["shard"], strict=True)) == want
+        assert (out.groupby(["shard", "slice"])["p"].nunique() == 1).all() and (out.groupby("p")[["shard", "slice"]].nunique().max() == 1).all()
+        assert out["slice"].max() == 0 if words > 1e9 else out["slice"].max() > 0
+        first = out[out["p"] == out["p"].iloc[0]]["doc_id"].tolist()
+        assert first != sorted(first)
+
+
+def test_mix_as_by_brute_force(spark):
+    """Every document is drawn floor(target / size of source) times or once more; documents of a block are drawn alike; tree sums hold."""
+    rows = [(i, " ".join(["w"] * (i % 37)), "en", "abcd"[min(i % 11, 3)]) for i in range(3000)]
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    goal = mixing.targets([int(x) for x in out.groupby("source")["size"].sum()], [5, 2, 1, 5])
+    for (_, own), g in zip(out.groupby("source"), goal, strict=True):
+        total = own["size"].sum()
+        assert (own["source_size"] == total).all() and own["target"].to_numpy() == pytest.approx(g)
+        copies = own["shards"].str.len()[own["size"] > 0]
+        assert set(copies) <= {int(g // total), int(g // total) + 1} and max(copies) <= 3
+        assert abs(own["taken"].sum() - g) <= own["size"].max() * 2
+    per_shard = np.bincount([s for x in out["shards"] for s in x], weights=[n for n, x in zip(out["size"], out["shards"], strict=True) for _ in x])
+    assert per_shard.min() > 0.5 * per_shard.mean()  # shards have equal numbers of blocks, whose words differ
 
 
 def test_mix_odd_rows(spark):
@@ -97,33 +127,138 @@ def test_totals_and_fits(spark):
 
 # 3. Quotation links
 
+CONVERSATIONS = "conv_id long, turn long, role string, text string"
+
 
 def test_quotes_are_linked_and_removed(spark):
     rows = [
         (1, 0, "user", "Hello there my friend\nHow does the engine work?"), (1, 1, "assistant", "It reads and writes."), (1, 2, "user", "Something else entirely here"),
         (1, 3, "assistant", "On Monday A wrote:\n> Hello there   my FRIEND\n> how does the engine work?\nBy plans."), (1, 4, "user", ">> It reads and writes.\n> By plans.\nThanks"),
+        (1, 5, "user", "> reads and\n> writes.  It reads\n> and writes.\nwrapped"), (1, 6, "user", "> hello there my friend how does\n> the engine work?\nacross lines"),
         (2, 0, "user", "> Hello there my friend\nunknown"), (None, None, None, None), (3, 0, "user", ""),
     ]
-    out = {(r["conv_id"], r["turn"]): r for r in chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("anchor", F.lit(1))).collect()}
+    out = {(r["conv_id"], r["turn"]): r for r in chat.linked(spark.createDataFrame(rows, CONVERSATIONS).withColumn("anchor", F.lit(1))).collect()}
     assert (out[1, 3]["reply_to"], out[1, 3]["text"], out[1, 3]["quotes"], out[1, 3]["linked"]) == (0, "By plans.", 1, 1)
     assert (out[1, 4]["reply_to"], out[1, 4]["text"], out[1, 4]["linked"]) == (3, "Thanks", 2)
+    assert out[1, 5]["reply_to"] == 1 and out[1, 6]["reply_to"] == 0
     assert out[2, 0]["reply_to"] is None and out[2, 0]["text"] == "unknown" and out[None, None]["text"] == "" and out[3, 0]["quotes"] == 0
-    order = [r["turn"] for r in chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect() if r["conv_id"] == 1]
+    order = [r["turn"] for r in chat.ordered(chat.linked(spark.createDataFrame(rows, CONVERSATIONS))).collect() if r["conv_id"] == 1]
     assert order.index(3) > order.index(0) and order.index(4) > order.index(3) and order[0] == 0
+    assert chat.linked(spark.createDataFrame([], CONVERSATIONS)).count() == 0
+
+
+def test_rows_of_one_turn_keep_their_own_links(spark):
+    rows = [(1, 0, "a", "first words of all"), (1, 1, "a", "plain words"), (1, 1, "b", "> first words of all\nyes"), (1, 1, "b", "> first words of all\nyes"), (1, 1, "c", "> never said by anyone\nno")]
+    out = sorted((r["role"], r["quotes"], r["linked"], r["reply_to"]) for r in chat.linked(spark.createDataFrame(rows, CONVERSATIONS)).collect() if r["turn"] == 1)
+    assert out == [("a", 0, 0, None), ("b", 1, 1, 0), ("b", 1, 1, 0), ("c", 1, 0, None)]
+
+
+def test_links_as_by_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(12)
+    say = lambda: "\n".join(rng.choice(["", "\n"]) + " ".join(rng.choice("alpha Beta gamma, delta. Eps! zeta? eta Theta".split()) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 4)))
+    rows = []
+    for conv in range(60):
+        said: list[str] = []
+        for turn in range(rng.randint(1, 8)):
+            parts = []
+            for _ in range(rng.randint(0, 3)):
+                if said and rng.random() < 0.7:
+                    mark = rng.choice([">", "> ", ">> ", " > > ", ">>> "])
+                    lines = rng.choice(said).split("\n")
+                    k = rng.randrange(len(lines))
+                    if rng.random() < 0.3:
+                        parts.append(rng.choice(["On Friday X wrote:", "Am Montag schrieb:"]))
+                    parts.append("\n".join(mark + x for x in lines[k : k + rng.randint(1, 3)]))
+                parts.append(rng.choice([say(), "", " \t", "a > b"]))
+            text = rng.choice(["\n", "\r\n"]).join(parts)
+            said.append(say() if not parts else text)
+            rows.append((conv if rng.random() < 0.97 else None, turn if rng.random() < 0.97 else None, rng.choice(["user", "assistant", None]), text if rng.random() < 0.97 else None))
+            if rng.random() < 0.1:
+                rows.append(rows[-1])
+    rows.append((99, 0, "user", ">" * 30_000 + " deep"))
+    got = chat.linked(spark.createDataFrame(rows, CONVERSATIONS)).collect()
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})  # noqa: F841
+    cursor = duckdb.sql(chat.SQL)
+    fields = cursor.columns
+    key = lambda row: tuple(str(x) for x in row)
+    assert sorted(key(r[f] for f in fields) for r in got) == sorted(map(key, cursor.fetchall()))
+    assert sum(r["linked"] for r in got) > 50 and any(r["quotes"] > r["linked"] for r in got)
 
 
 # 4. Licenses
 
+FILES = "key long, path string, text string"
+GPL_NOTICE = """/*
+ * Copyright (C) 2021  Jane Doe <jane@example.org>
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+ */
+int main() { return 0; }
+"""
+
 
 def test_headers_and_inheritance(spark):
     rows = [
         (1, "p/LICENSE", "Released under the MIT License."), (2, "p/q/a.py", "x = 1"), (3, "p/q/b.py", "y\nLicensed under the Apache License, Version 2.0.\nz"), (4, "p/r/COPYING", "This work is licensed under the GNU General Public License, version 3."),
         (5, "p/r/s/c.py", None), (6, "other/d.py", ""), (7, None, "Licensed under CC BY-NC 4.0."), (8, "e.py", "our license is nice and long and says nothing that a template says"), (2, "p/q/a.py", "x = 1"),
+        (2, "p/q/a.py", "SPDX-License-Identifier: ISC"), (None, None, None),
     ]
-    out = {r["key"]: (r["own_license"], r["license"], r["inherited_from"]) for r in licenses.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
-    assert out[1] == ("MIT", "MIT", None) and out[2] == (None, "MIT", "p") and out[3] == ("Apache-2.0", "Apache-2.0", None)
+    given = spark.createDataFrame(rows, FILES).withColumns({c: F.lit("own") for c in ("h", "unit", "license", "th", "at", "name", "score")})
+    got = [tuple(r[c] for c in ("key", "own_license", "license", "inherited_from")) for r in licenses.scan(given).collect()]
+    assert len(got) == len(rows) and got.count((2, None, "MIT", "p")) == 2 and got.count((2, "ISC", "ISC", None)) == 1
+    out = {k: (a, b, c) for k, a, b, c in got}
+    assert out[1] == ("MIT", "MIT", None) and out[3] == ("Apache-2.0", "Apache-2.0", None) and out[None] == (None, None, None)
     assert out[4][0] == "GPL-3.0" and out[5] == (None, "GPL-3.0", "p/r") and out[6] == (None, None, None) and out[8] == (None, None, None)
-    assert licenses.scan(spark.createDataFrame([], "key long, path string, text string")).count() == 0
+    assert licenses.scan(spark.createDataFrame([], FILES)).count() == 0
+
+
+def test_headers_as_they_are_written(spark):
+    heads = [
+        ("# SPDX-License-Identifier: MIT\nx = 1", "MIT"), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("Copyright 2020 Jane Doe. Licensed under the MIT license.", "MIT"),
+        (GPL_NOTICE, "GPL-3.0"), (GPL_NOTICE.replace("GNU General", "GNU Affero General"), "AGPL-3.0"), ("Some prose. Licensed under CC BY-SA 4.0. More prose of many words.", "CC-BY-SA-4.0"),
+        ("# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal", "MIT"),
+        ("the free software in our garden grows without copyright", None), ("\n" * 50_000 + "license " * 50_000, None),
+    ]
+    rows = [(i, f"d{i}/a.py", t) for i, (t, _) in enumerate(heads)] + [(100 + i, f"e{i}/b.py", f"prose of words number {i} and the like of it") for i in range(200)]
+    out = {r["key"]: r["own_license"] for r in licenses.scan(spark.createDataFrame(rows, FILES)).collect()}
+    assert [out[i] for i in range(len(heads))] == [want for _, want in heads]
+
+
+def test_cosines_as_by_brute_force(spark):
+    import math
+    import re
+    from collections import Counter
+
+    rng = random.Random(9)
+    lines = ["Released under the MIT license", "licensed under GNU General Public License version 3 or so", "all the prose, v. 2.0.", "copyright notice of the software", "CC BY 4.0 is the license..", "under apache license 2.0 terms", "nothing here"]
+    rows = [(i, f"d{i}/a.py", "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 4)))) for i in range(80)]
+    out = {r["key"]: (r["own_license"], r["own_score"]) for r in licenses.scan(spark.createDataFrame(rows, FILES)).collect()}
+    terms = lambda t: [w for w in (x.strip(".") for x in re.split(r"[^a-z0-9.]+", t.lower())) if w]
+    seen = Counter(t for _, _, text in rows for t in set(terms(text)))
+    idf = lambda t: math.log((len(rows) + 1) / (1 + seen[t])) + 1
+    vector = lambda text: {t: c * idf(t) for t, c in Counter(terms(text)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    models = [(name, vector(s)) for name, s in licenses.templates()]
+    for i, _, text in rows:
+        units = [text, *text.split("\n")]
+        units += [s for u in text.split("\n") for s in re.sub(licenses.STOP, r"\1\n", u).split("\n")]
+        scores = []
+        for u in {u for u in units if re.search(licenses.ANCHOR, u)}:
+            v = vector(u)
+            scores += [(-round(sum(w * m.get(t, 0) for t, w in v.items()) / norm(v) / norm(m), 6), name) for name, m in models]
+        best = min([x for x in scores if -x[0] >= licenses.SIMILAR], default=(None, None))
+        assert out[i][0] == best[1] and (best[0] is None or out[i][1] == pytest.approx(-best[0], abs=2e-6)), text
 
 
 def test_every_term_of_a_header_has_its_document_frequency(spark):
@@ -141,23 +276,69 @@ def test_every_term_of_a_header_has_its_document_frequency(spark):
     assert out[1] is None
 
 
+# Samples
+
+
+def test_samples_hold_distinct_keys(spark):
+    rows = [("hot text", "a")] * 4000 + [(f"text {i}", "a") for i in range(60)] + [("x" * 5000, "b"), (None, "b"), ("y", None), ("z", "b"), ("z", "b")]
+    d = spark.createDataFrame(rows, "t string, c string").repartition(5)
+    got = bounded_sample(d, F.col("c"), 20, F.col("t"), F.col("t"), max_bytes=1 << 16).toPandas()
+    a = got[got["cls"] == "a"]
+    assert len(a) == 20 == a["payload"].nunique() and set(got[got["cls"] == "b"]["payload"]) == {"z"}
+    everything = bounded_sample(d, F.col("c"), 1000, F.col("t"), F.col("t"), max_bytes=1 << 20).toPandas()
+    assert sorted(everything[everything["cls"] == "a"]["payload"]) == sorted({t for t, c in rows if c == "a"})
+    again = bounded_sample(d.repartition(3), F.col("c"), 20, F.col("t"), F.col("t"), max_bytes=1 << 16).toPandas()
+    assert sorted(again["payload"]) == sorted(got["payload"])
+    tight = bounded_sample(d, F.col("c"), 1000, F.col("t"), F.col("t"), max_bytes=640).toPandas()
+    assert tight[tight["cls"] == "a"]["payload"].str.len().sum() <= 640
+    assert bounded_sample(d.limit(0), F.col("c"), 20, F.col("t"), F.col("t")).count() == 0
+
+
 # 5. Language
 
 
+def test_pieces_hold_the_whole_text():
+    text = "Ab cd " * 200 + "x" * 1000 + " end"
+    assert b"".join(langid.cut_up(text)).decode() == text.lower() and max(map(len, langid.cut_up(text))) <= langid.PIECE
+
+
 def test_language_held_out(spark):
-    d = docs(spark)
-    dicts = langid.learn(d, usable=F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 2)
-    out = langid.identify(d.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 2), dicts).toPandas()
-    assert (out["lang"] == out["lang_pred"]).mean() >= 0.9 and out["score"].between(0, 1).all() and out["rejected"].mean() <= 0.05
-    o = langid.identify(odd(spark), dicts).toPandas()
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    model = langid.learn(d, usable=part != 2)
+    out = langid.identify(d.where(part == 2), model).toPandas()
+    assert (out["lang"] == out["lang_pred"]).mean() >= 0.98 and out["score"].between(0, 1).all() and out["rejected"].mean() <= 0.05
+    rng = random.Random(4)
+    noise = spark.createDataFrame([("".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)),) for n in (60, 300, 2000) for _ in range(10)], "text string")
+    assert langid.identify(noise, model).where("rejected").count() >= 27
+    o = langid.identify(odd(spark), model).toPandas()
     assert list(o["lang_pred"])[:3] == ["und"] * 3 and list(o["rejected"])[:3] == [True] * 3
-    assert langid.identify(odd(spark), {}).where("lang_pred <> 'und'").count() == 0
+    assert o["lang_pred"][4] == o["lang_pred"][5] and o["score"][4] == o["score"][5]
+    assert langid.identify(odd(spark), langid.Model({})).where("lang_pred <> 'und'").count() == 0
+
+
+def test_language_by_plain_compression():
+    import zstandard
+
+    model = langid.Model({"a": b"the cat sat on the mat and the dog " * 40, "b": b"der hund und die katze sind im haus " * 40})
+    how = langid.Classifier(model.dicts)
+    for text in ("The dog and the cat", "die katze und der hund", "x" * 9000 + " the cat"):
+        sizes = []
+        for data in model.dicts.values():
+            params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, source_size=langid.BLOCK, dict_size=len(data), min_match=langid.MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+            coder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+            raw = text.lower().encode()
+            sizes.append(sum(len(coder.compress(raw[i : i + langid.BLOCK])) for i in range(0, len(raw), langid.BLOCK)))
+        lang, score, margin = how.predict(text)
+        assert lang == "ab"[int(np.argmin(sizes))] and margin == pytest.approx(abs(sizes[0] - sizes[1]) / min(sizes) ** 0.5) and 0 < score <= 1
+    tie = langid.Classifier({"b": b"same", "a": b"same"})
+    assert tie.predict("some words")[0] == "b"
 
 
 # 6. Toxicity
 
 
-def test_toxicity_learns_words(spark):
+def _toxic_rows(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(300)]
     rows = []
@@ -166,13 +347,42 @@ def test_toxicity_learns_words(spark):
         if i % 4 == 0:
             w.insert(rng.randrange(len(w)), rng.choice(["vilething", "badword"]))
         rows.append((i, " ".join(w), "en" if i % 2 else "de", "s", int(i % 4 == 0)))
-    d = spark.createDataFrame(rows, SCHEMA + ", toxic int")
+    return spark.createDataFrame(rows, SCHEMA + ", toxic int")
+
+
+def test_toxicity_learns_words(spark):
+    d = _toxic_rows(spark)
     model = toxicity.learn(d, d.select("doc_id", "toxic").where("doc_id < 400"))
     out = toxicity.score(d.where("doc_id >= 400"), model).toPandas()
     assert (out["predicted"] == out["toxic"]).mean() >= 0.95 and ((out["score"] >= 0.7).astype(int) == out["predicted"]).all()
     o = toxicity.score(odd(spark), model).toPandas()
-    assert len(o) == len(ODD) and o["score"].between(0, 1).all()
-    assert toxicity.score(odd(spark), toxicity.learn(d, d.select("doc_id", "toxic").limit(0))).count() == len(ODD)
+    assert len(o) == len(ODD) and o["score"].between(0, 1).all() and o["score"][4] == o["score"][5] and o["score"][0] == o["score"][1]
+    assert toxicity.score(odd(spark), toxicity.learn(d, d.select("doc_id", "toxic").limit(0))).where("predicted = 0").count() == len(ODD)
+    again = toxicity.learn(d.unionByName(d).repartition(3), d.select("doc_id", "toxic").where("doc_id < 400").repartition(5))
+    assert (again.out == model.out).all() and (again.cuts == model.cuts).all()
+
+
+def test_scores_as_by_plain_convolution(spark):
+    d = _toxic_rows(spark).toPandas()
+    model = toxicity.train(list(d["text"][:200]), d["toxic"][:200].to_numpy(float), list(d["lang"][:200]))
+    tables = []
+    for rows, values in model.rows:
+        tables.append(dict(zip(rows.tolist(), values, strict=True)))
+    zero = np.zeros(toxicity.DIM)
+    texts = [*d["text"][200:240], "", "one", "badword " * 3000]
+    got, _ = toxicity.Scorer(model).logits(texts)
+    for t, z in zip(texts, got, strict=True):
+        words = t.split() or [""]
+        keys = toxicity.hashed_rows(words)
+        vec = [np.concatenate([tables[j].get(int(keys[i, j]), zero) for j in range(4)]) for i in range(len(words))]
+        tops = []
+        for f, b, w in zip(model.filters, model.bias, toxicity.WIDTHS, strict=True):
+            best = np.zeros(toxicity.FILTERS)
+            for i in range(len(vec)):
+                window = np.concatenate([vec[i + j] if i + j < len(vec) else np.zeros(4 * toxicity.DIM) for j in range(w)])
+                best = np.maximum(best, window @ f + b)
+            tops.append(best)
+        assert z == pytest.approx(float(np.concatenate(tops) @ model.out + model.out_bias), abs=1e-3)
 
 
 # 7. Near duplicates
@@ -357,11 +567,52 @@ def _tiles(doc, item, least):
 
 def test_tiles_as_by_brute_force():
     rng = random.Random(8)
-    for _ in range(150):
-        item = [rng.choice([1, 2, 3]) for _ in range(rng.randint(3, 14))]
-        doc = [rng.choice([1, 2, 3, 4]) for _ in range(rng.randint(0, 40))]
+    for _ in range(400):
+        few = rng.choice([1, 2, 3, 6])
+        item = [rng.randint(1, few) for _ in range(rng.randint(1, 14))]
+        doc = [rng.randint(1, few + 1) for _ in range(rng.randint(0, 40))]
         got = decontaminate.tile(np.array(doc, dtype=np.uint64), np.array(item, dtype=np.uint64), 3)
-        assert sorted(got) == sorted(_tiles(doc, item, 3)), (doc, item)
+        assert got == _tiles(doc, item, min(3, len(item))), (doc, item)
+
+
+def test_repeated_tokens_are_tiled_without_listing_pairs():
+    import time
+
+    one = np.array([5], dtype=np.uint64)
+    began = time.time()
+    assert [x[2] for x in decontaminate.tile(np.repeat(one, 200_000), np.repeat(one, 2000), 4)] == [2000]
+    two = np.tile(np.array([5, 5, 5, 5, 7], dtype=np.uint64), 2000)
+    assert sum(x[2] for x in decontaminate.tile(np.tile(np.array([5, 5, 5, 5, 9], dtype=np.uint64), 20_000), two, 4)) == 8000
+    assert time.time() - began < 5
+
+
+def test_best_item_as_by_tiling_all():
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = [(i * 7 % 101, " ".join(["what", "is", "the", "name", "of"] + [rng.choice(vocabulary) for _ in range(rng.randint(0, 12))])) for i in range(60)] + [(500, "w1 w2"), (501, "w1 w2")]
+    tiler = decontaminate.Tiler(items, 4)
+    ids = {w: i + 1 for i, w in enumerate(sorted({w for _, t in items for w in t.split()}))}
+    for _ in range(40):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            words += rng.choice(items)[1].split()[: rng.randint(1, 15)] + [rng.choice([*vocabulary, "other"])]
+        best = (None, 0.0)
+        for i, t in sorted(items):
+            item = [ids[w] for w in t.split()]
+            share = sum(x[2] for x in _tiles([ids.get(w, 0) for w in words], item, min(4, len(item)))) / len(item)
+            if share > best[1]:
+                best = (i, share)
+        got = tiler.best(" ".join(words))
+        assert got[0] == best[0] and got[1] == pytest.approx(best[1])
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    d, bench = docs(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = sorted(map(tuple, decontaminate.covered(odd(spark).unionByName(d.limit(100).select("doc_id", "text", "lang", "source"), allowMissingColumns=True), bench).select("doc_id", "item_id", "contaminated").collect()), key=str)
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 4000)
+    assert len(list(decontaminate.blocks(bench))) > 2
+    got = sorted(map(tuple, decontaminate.covered(odd(spark).unionByName(d.limit(100).select("doc_id", "text", "lang", "source"), allowMissingColumns=True), bench).select("doc_id", "item_id", "contaminated").collect()), key=str)
+    assert got == want
 
 
 def test_planted_and_reordered_passages(spark):
