@@ -10,31 +10,49 @@ from weftline.llm.common import crc_of, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go."""
-    dicts = langid.learn(docs, usable=F.pmod(crc_of(F.col("doc_id")), F.lit(4)) != 2)
-    return langid.identify(docs, dicts).where(~F.col("rejected")).select(*docs.columns)
+    """Documents whose language is rejected go: narrow margins, and null, empty or letterless texts, which have no language.
+
+    Repeated rows stay or go together; ties go to the first language by name; columns of any names stay as they are; an empty table
+    gives an empty one.
+    """
+    model = langid.learn(docs, usable=F.pmod(crc_of(F.col("doc_id")), F.lit(4)) != 2)
+    return langid.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go; null and empty texts are scored as empty ones.
+
+    Repeated rows stay or go together; a document without a label counts as any other; without labels none is toxic; an empty table
+    gives an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn(docs, labels, usable=F.pmod(crc_of(F.col("doc_id")), F.lit(3)) != 1)
     return toxicity.score(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: that of the least id."""
+    """One document of each class stays: that of the least id, of repeated rows of it one.
+
+    Null and wordless texts are classes of their own, so all of them stay; a null id stands behind all others; an empty table
+    gives an empty one.
+    """
     return neardup.kept(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover a benchmark item go."""
+    """Documents that cover a benchmark item go; null and empty texts cover none.
+
+    Repeated rows stay or go together; an empty benchmark contaminates nothing; an empty table gives an empty one.
+    """
     found = decontaminate.covered(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(~F.col("contaminated")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: a row for each copy drawn, with its shard."""
+    """The mix itself: a row for each copy drawn, with its shard, shard by shard in shuffled order.
+
+    Null texts have size 0, a null source is a source of its own; repeated rows are drawn alike; an empty table gives no rows.
+    """
     return mixing.shuffled(mixing.mix(docs))
 
 
