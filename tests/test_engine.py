@@ -7,14 +7,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.api import Engine
-from weftline.config import Config, ConfigError
+from weftline.config import Config, ConfigError, IndexConfig, LimitError
 from weftline.functions import paths as P
 from weftline.functions import text as T
 from weftline.operators import analytics, chunking, extract, graph, incremental
 from weftline.operators import retrieval as R
 from weftline.plans.search import SearchRequest
 from weftline.providers import CircuitBreaker, HashingEmbedder
+from weftline.sources import files as sources
+from weftline.sources import git
 from weftline.sources.files import IgnoreRules
+from weftline.sources.registry import Registry
+from weftline.sources.tables import VERSION, Store, VersionError, report, report_json
 
 
 def one(spark, column):
@@ -95,6 +99,8 @@ def test_resolution(spark):
     e = edges_of(spark, ("/r/a.py::Foo", "calls", "z"), ("gen/generated/b.py::Bar", "calls", "z"), ("src/b.py::Bar", "calls", "z"), ("x.ts::Baz", "calls", "q"), ("x.ts::Baz", "calls", "r"), ("y.py::Baz", "calls", "q"))
     assert resolve(spark, e, "a.py::Foo") == "/r/a.py::Foo" and resolve(spark, e, "Foo") == "/r/a.py::Foo"
     assert resolve(spark, e, "none such") == "none such" and resolve(spark, e, "Bar") == "src/b.py::Bar"
+    assert resolve(spark, e, "z") == "z" and resolve(spark, e, "az") == "x.ts::Baz"
+    assert graph.resolved(spark.createDataFrame([("Bar",)], "name string"), e, context_file="src/x.py").first()["entity"] == "src/b.py::Bar"
     assert resolve(spark, e, "Baz") == "x.ts::Baz" and resolve(spark, e, "Baz", F.lit("python")) == "y.py::Baz"
 
 
@@ -195,7 +201,7 @@ def test_rules_patterns_and_snapshots(spark):
     rules = IgnoreRules(["build/", "*.log", "/top.txt", "!keep.log"])
     ignored = lambda p: one(spark, rules.matches(F.lit(p)))
     assert [ignored(p) for p in ("a/build/x", "x.log", "top.txt", "a/top.txt", "a/keep.log", "builder/x")] == [True, True, True, False, False, False]
-    assert T.grep_patterns("find the UserModel url") == T.FRAMEWORK_PATTERNS["url"] + T.FRAMEWORK_PATTERNS["model"] + ["UserModel"]
+    assert one(spark, T.grep_patterns(F.lit("find the UserModel url"))) == T.FRAMEWORK_PATTERNS["url"] + T.FRAMEWORK_PATTERNS["model"] + ["UserModel"]
     old, new = (spark.createDataFrame(x, "k int, h string") for x in ([(1, "a"), (2, "b"), (3, "c")], [(1, "a"), (2, "x"), (4, "d")]))
     assert dict(map(tuple, incremental.changes(old, new, "k", "h").collect())) == {1: "unchanged", 2: "modified", 3: "deleted", 4: "added"}
     up = incremental.upserted(old, new, "k")
@@ -217,13 +223,141 @@ def test_statistics(spark):
     assert not breaker.is_open
 
 
-def test_index_and_search(spark, tmp_path):
-    files = spark.createDataFrame([("a/m.py", SOURCE), ("a/readme.md", "How orders are kept\n\nOrders are rows."), ("b/api.ts", "function load() { return fetch('/api/x') }")], "file_path string, content string")
-    engine = Engine.open(spark, str(tmp_path / "store"), embedder=HashingEmbedder(16))
-    assert {r["change"] for r in engine.index(files).collect()} == {"added"}
+FILES = [
+    ("a/m.py", SOURCE), ("a/readme.md", "How orders are kept\n\nOrders are rows."), ("b/api.ts", "function load() { return fetch('/api/x/7') }"),
+    ("b/urls.py", "urlpatterns = [path('api/x/<int:pk>', views.show)]"), ("tests/test_m.py", "from a.m import f\n\n\ndef test_f():\n    f()\n"), ("a/many.py", "\n\n".join(f"def keeper{i}():\n    return 'ledger {i}'" for i in range(6))),
+    ("a/odd.py", "x " * 10 + "-" * 100_000 + "1"), ("a/blank.py", "  "),
+]
+
+
+@pytest.fixture(scope="module")
+def engine(spark, tmp_path_factory):
+    out = Engine.open(spark, str(tmp_path_factory.mktemp("store")), embedder=HashingEmbedder(16))
+    files = spark.createDataFrame(FILES, "file_path string, content string")
+    assert {r["change"] for r in out.index(files).collect()} == {"added"}
+    return out
+
+
+def test_index_and_search(spark, engine, tmp_path):
     assert engine.search(SearchRequest("orders kept")).first()["file_path"] == "a/readme.md"
-    again = engine.index(files.where("file_path <> 'b/api.ts'"))
-    assert sorted(r["change"] for r in again.collect()) == ["deleted", "unchanged", "unchanged"]
-    assert engine.status()["file_hashes"] == 2 and engine.store.read("chunks").where("file_path = 'b/api.ts'").count() == 0
+    # Each range of a file is a result of its own.
+    own = [r for r in engine.search(SearchRequest("ledger keeper", limit=20), full=True).collect() if r["file_path"] == "a/many.py" and r["chunk_type"] == "function"]
+    assert len(own) == 6 and len({r["line_start"] for r in own}) == 6 and "ledger" in own[0]["content"]
+    only = engine.search(SearchRequest("ledger keeper", filters={"language": "markdown"})).collect()
+    assert only and {r["file_path"] for r in only} == {"a/readme.md"}
+    with pytest.raises(R.InvalidFilterError):
+        engine.search(SearchRequest("x", filters={"colour": "red"}))
+    with pytest.raises(ValueError):
+        SearchRequest("x", mode="loud")
     assert engine.trace("M.save", "outbound", 1).count() == 1 and all(ok for _, ok, _ in engine.health())
-    assert "Used by" in engine.explain("m.py::M").first()["explanation"]
+    assert {r[0]: r[1] for r in engine.context("a/m.py", 5, 6).select("file_path", "content").collect()} == {"a/m.py": "\n".join(SOURCE.split("\n")[4:6])}
+    text = engine.explain("m.py::M").first()["explanation"]
+    assert "Used by: " in text and "class M(BaseModel)" in text
+
+
+def test_response(engine, tmp_path):
+    events = str(tmp_path / "events")
+    out = engine.respond(SearchRequest("where is keeper0", mode="exhaustive"), events)
+    assert (out.intent, out.mode_used) == ("location", "exhaustive") and out.confidence_label in ("high", "medium", "low") and out.total_candidates > 0
+    rows = out.results.collect()
+    lines = [r for r in rows if r["source"] == "grep"]
+    ranges = [(r["file_path"], r["line_start"], r["line_end"]) for r in rows if r["source"] == "semantic"]
+    assert all(not any(f == g["file_path"] and a <= g["line_start"] <= b for f, a, b in ranges) for g in lines)
+    event = engine.spark.read.json(events).first()
+    assert event["mode_used"] == "exhaustive" and len(event["query_hash"]) == 64 and event["result_count"] == len(rows)
+    f = {r["function_name"]: r["context"] for r in engine.respond(SearchRequest("f return M")).results.collect() if r["file_path"] == "a/m.py" and r["rank"] <= 5}
+    assert any(c and "Tests: " in c for c in f.values())
+    none = engine.respond(SearchRequest("anything", filters={"app_name": "nowhere"}))
+    assert (none.result_count, none.suggestion, none.results.count()) == (0, "try_exhaustive", 0)
+    wide = engine.respond(SearchRequest("ledger", mode="keyword"))
+    assert wide.intent == "enumeration" and wide.result_count > 6
+
+
+def test_index_keeps_relations_summaries_and_postings(engine):
+    e = {(r["source_entity"], r["relationship"], r["target_entity"]) for r in engine.store.read("graph").collect()}
+    assert ("b/api.ts::load", "calls_api", "b/urls.py::views.show") in e and ("tests/test_m.py", "tests", "a/m.py::f") in e and ("a/m.py::f", "calls", "a/m.py::M") in e
+    chunks = engine.store.read("chunks")
+    summary = chunks.where("chunk_type = 'file_summary' and file_path = 'a/m.py'").first()["content"]
+    assert summary == "# File: a/m.py\n# Imports: import os, from a.b import c as d\n# Entities:\n#   class M(BaseModel)\n#   def save(self)\n#   def save(self)\n#   def f()"
+    assert chunks.count() == chunks.select("chunk_id").distinct().count()
+    assert chunks.where("file_path = 'a/odd.py'").first()["chunk_type"] == "section" and chunks.where("file_path = 'a/blank.py'").count() == 0
+    postings = engine.store.read("postings")
+    words = chunks.select("chunk_id", F.size(T.all_tokens(F.col("content"))).alias("n")).agg(F.sum("n")).first()[0]
+    assert postings.agg(F.sum("tf")).first()[0] == words
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    engine = Engine.open(spark, str(tmp_path / "s"), embedder=HashingEmbedder(8))
+    files = spark.createDataFrame([(f"d/f{i}.py", f"def f{i}():\n    return g{i}()") for i in range(40)], "file_path string, content string")
+    engine.index(files)
+    before = engine.store._manifest("chunks", 1)["buckets"]
+    changed = files.withColumn("content", F.when(F.col("file_path") == "d/f3.py", "def other():\n    return 1").otherwise(F.col("content"))).where("file_path <> 'd/f5.py'")
+    assert {r["file_path"]: r["change"] for r in engine.index(changed).where("change <> 'unchanged'").collect()} == {"d/f3.py": "modified", "d/f5.py": "deleted"}
+    after = engine.store._manifest("chunks", 2)["buckets"]
+    assert sum(before[b] != after.get(b) for b in before) <= 2
+    names = {r["name"] for r in engine.store.read("chunks").where("chunk_type = 'function'").collect()}
+    assert names == {f"f{i}" for i in range(40)} - {"f3", "f5"} | {"other"}
+    assert engine.status()["file_hashes"] == 39
+    with pytest.raises(LimitError):
+        Engine.open(spark, str(tmp_path / "t"), Config(index=IndexConfig(max_chunks=5)), HashingEmbedder(8)).index(files)
+
+
+def test_store_bookkeeping(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.version() == 0 and store.migrate() == VERSION == store.version()
+    ran = []
+    assert store.migrate({VERSION: lambda s: ran.append(1), VERSION + 1: lambda s: ran.append(2), VERSION + 2: lambda s: ran.append(3)}, VERSION + 2) == VERSION + 2 and ran == [2, 3]
+    with pytest.raises(VersionError):
+        store.migrate()
+    fail = lambda *names: spark.createDataFrame([(n, "bad") for n in names], "file_path string, error string")
+    store.record_failures(fail("a", "b"), "2024-01-01")
+    store.record_failures(fail("b"), "2024-01-02")
+    assert [(r["file_path"], r["retry_count"]) for r in store.failed_files().collect()] == [("b", 2), ("a", 1)]
+    assert list(report(spark.range(1500).toDF("n"), "R"))[-1] == "| 1499 |" and len(list(report_json(spark.range(1200)))) == 1200
+
+
+def test_registry_git_and_ignore_sources(spark, tmp_path, monkeypatch):
+    import subprocess
+
+    r = Registry(str(tmp_path / "x" / "projects.json"))
+    assert r.find("a") is None and not r.unregister("a")
+    r.register("a", str(tmp_path / "work" / "alpha"), "s1")
+    r.register("alpha", "/other/place", "s2")
+    assert r.find("alpha")["store"] == "s2" and r.find(str(tmp_path / "work" / "alpha"))["name"] == "a" and r.find("place")["name"] == "alpha"
+    assert r.unregister("a") and [p["name"] for p in r.list()] == ["alpha"]
+
+    root = tmp_path / "repo"
+    root.mkdir()
+    assert git.listed(str(tmp_path / "none")) is None and git.staleness(str(tmp_path / "none"), None).commits_behind == -1
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=n", "-c", "user.email=e@e", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (root / "a.py").write_text("x = 1")
+    (root / ".gitignore").write_text("*.log\n")
+    (root / "b.log").write_text("no")
+    run("add", ".")
+    run("commit", "-qm", "one")
+    first = git.current_commit(str(root))
+    assert git.listed(str(root)) == [".gitignore", "a.py"] and not git.staleness(str(root), first).is_stale and not git.merging(str(root))
+    (root / "c.py").write_text("y = 2")
+    run("add", ".")
+    run("commit", "-qm", "two")
+    assert git.staleness(str(root), first).commits_behind == 1
+    changes = git.changed(spark, str(root), first)
+    files = spark.createDataFrame([("a.py",), ("c.py",)], "file_path string")
+    assert sorted(map(tuple, git.selected(files, changes).collect())) == [("a.py", "unchanged"), ("c.py", "added")]
+    assert git.known(spark.createDataFrame([("a.py",), ("b.log",)], "file_path string"), str(root)).count() == 1
+
+    (root / ".codesearchignore").write_text("# own\nc.py\n")
+    monkeypatch.setenv(sources.ENVIRONMENT, "d/, e/")
+    got = sources.ignore_patterns(str(root), ["s/"])
+    assert got == [*sources.DEFAULT_IGNORES, "*.log", "c.py", "s/", "d/", "e/"]
+    found = sources.discover(spark, str(root), ["py", "LOG"], sources.IgnoreRules(got)).collect()
+    assert [f["file_path"] for f in found] == ["a.py"]
+    assert sources.merged({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"y": 3}, "c": 4}) == {"a": {"x": 1, "y": 3}, "b": 1, "c": 4}
+
+
+def test_pattern_columns(spark):
+    got = one(spark, T.grep_patterns(F.lit("fix get_user and the OrderModel of path"), F.array(F.lit("a.b"), F.lit("the"), F.lit(None).cast("string"))))
+    assert got == [r"class\s+\w+\(.*Model\)", r"models\.\w+Field", "get_user", "OrderModel", "path", r"a\.b"]
+    few = graph.urls_matched(spark.createDataFrame([("/a/7/b/",), ("/a/7/8/b",), ("/a/zz",), ("/no",), ("/q.x/1",)], "url string"), spark.createDataFrame([(0, "/a/<int:k>/b"), (1, "/a/"), (2, "/a/<int:k>/<str:s>/b/"), (3, "/q.x/<int:n>"), (4, "/qqx/<int:n>")], "place int, pattern string"))
+    assert {r["url"]: (r["pattern"], r["tier"]) for r in few.collect()} == {"/a/7/b/": ("/a/<int:k>/b", 1), "/a/7/8/b": ("/a/<int:k>/<str:s>/b/", 1), "/a/zz": ("/a/<int:k>/b", 2), "/q.x/1": ("/q.x/<int:n>", 1)}

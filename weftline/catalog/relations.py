@@ -212,12 +212,6 @@ def entity_ids(spark, d):
     return f.select("doc_id", F.explode(F.array_compact(F.array(chunk, name))).alias("entity"))
 
 
-@query(f"{E} SELECT entity, concat('used by ', array_to_string(callers[1:3], ', ')) AS context FROM (SELECT entity, {LISTS} FROM {SIDES} WHERE entity IN (FROM {NATIONS}) GROUP BY entity) WHERE len(callers) > 0")
-def enrich_context(spark, d):
-    n = H.neighbours(_nations(spark, d), edges(spark, d), 3)
-    return n.where(F.size("callers") > 0).select("entity", F.concat(F.lit("used by "), F.array_join("callers", ", ")).alias("context"))
-
-
 @query(
     f"{E}, h AS (SELECT relationship, unnest([target_entity, source_entity]) AS x FROM e WHERE source_entity IN (FROM {NATIONS}) OR target_entity IN (FROM {NATIONS})), "
     f"f AS (SELECT {_file('x')} AS file_path, arg_min(relationship, (x, relationship)) AS relationship, min(x) AS entity FROM h WHERE {_file('x')} <> 'geo/nations.py' GROUP BY ALL) SELECT file_path, relationship, entity FROM f ORDER BY file_path LIMIT 5"

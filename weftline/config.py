@@ -15,6 +15,10 @@ class ConfigError(ValueError):
         self.fix = fix
 
 
+class LimitError(ConfigError):
+    """More of something than the settings allow."""
+
+
 @dataclass
 class SearchConfig:
     limit: int = 10
@@ -24,6 +28,8 @@ class SearchConfig:
     debug_demotion: float = 0.95
     importance_boost: float = 0.25
     grep_merge: int = 100
+    reranker: str = "none"
+    terminology: str = ""
 
 
 @dataclass
@@ -36,6 +42,8 @@ class IndexConfig:
     max_chunks_of: dict[str, int] = field(default_factory=dict)
     extensions: list[str] = field(default_factory=lambda: ["py", "ts", "tsx", "js", "jsx", "md"])
     ignore: list[str] = field(default_factory=list)
+    neighbours: int = 20
+    enrich: bool = False
 
 
 @dataclass

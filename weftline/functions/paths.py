@@ -96,6 +96,28 @@ def joined(*parts: Column) -> Column:
     return F.concat_ws("\n", *[F.when(p != "", p) for p in parts])
 
 
+def signature_text(chunk_id_: Column, signature_: Column, class_name: Column, app: Column, layer_: Column) -> Column:
+    """What the signature vector is made of: the id and, a line each, what is known of the rest."""
+    part = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
+    return F.concat_ws("\n", chunk_id_, part("", signature_), part("class: ", class_name), part("app: ", app), part("layer: ", layer_))
+
+
+def _related(callers: Column, callees: Column, imports: Column) -> list[Column]:
+    line = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, ", ")))
+    return [line("[Callers]: ", callers), line("[Calls]: ", callees), line("[Imports]: ", imports)]
+
+
+def semantic_stub(head: Column, callers: Column, callees: Column, imports: Column) -> Column:
+    """The semantic text of a chunk that has no description: signature text and relations."""
+    return F.concat_ws("\n", head, *_related(callers, callees, imports))
+
+
+def enriched_text(path: Column, layer_: Column, app: Column, description: Column, keywords: Column, callers: Column, callees: Column, imports: Column) -> Column:
+    """The semantic text of a described chunk: labelled fields and relations."""
+    fields = (("[File]: ", path), ("[Layer]: ", layer_), ("[App]: ", app), ("[Description]: ", description), ("[Keywords]: ", keywords))
+    return F.concat_ws("\n", *[F.concat(F.lit(label), F.coalesce(c, F.lit(""))) for label, c in fields], *_related(callers, callees, imports))
+
+
 def snippet(signature_: Column, docstring: Column, content: Column, lines: int = 5) -> Column:
     """Signature and first docstring lines; or the signature; or the first content lines."""
     head = lambda c, n: F.array_join(F.slice(F.split(c, "\n"), 1, n), "\n")

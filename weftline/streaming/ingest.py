@@ -16,14 +16,14 @@ def stream_files(spark: SparkSession, path: str, schema: str, max_files: int = 1
 
 
 def ingest(files: DataFrame, store: Store, checkpoint: str, most: int = chunking.MOST) -> StreamingQuery:
-    """Chunks each micro-batch and merges it: chunks of a file in the batch replace those in the table. Reruns of a batch end alike."""
+    """Chunks each micro-batch and puts it into the table: chunks of a file in the batch replace those it had.
+
+    Only the buckets that the batch's files fall into are read and written. Reruns of a batch end alike.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
         chunks = chunking.chunked(batch, most=most).withColumn("chunk_id", F.concat_ws("::", "file_path", F.col("part").cast("string")))
-        if store.exists("chunks"):
-            old = store.read("chunks").join(batch.select("file_path").distinct(), "file_path", "left_anti")
-            chunks = old.unionByName(chunks)
-        store.overwrite("chunks", chunks)
+        store.replace("chunks", chunks, batch.select("file_path"))
 
     return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
