@@ -450,6 +450,77 @@ def test_no_link_of_a_template_family_is_lost(spark):
     assert len(set(out.values())) == n - pairs
 
 
+def test_texts_at_the_least_similarity_share_one_of_their_rarest():
+    rng = np.random.default_rng(4)
+    idf = (1 + 0.1 * rng.random(neardup.DF_BUCKETS)).astype(np.float32)
+    for _ in range(300):
+        base = rng.choice(1 << 32, 60, replace=False).astype(np.uint32)
+        a, b = (np.sort(np.unique(np.concatenate([base[: rng.integers(45, 61)], rng.integers(0, 1 << 32, rng.integers(0, 8), dtype=np.uint32)]))) for _ in range(2))
+        ta, tb = (rng.integers(1, 4, len(x)).astype("<u4").tobytes() for x in (a, b))
+        if neardup.similarity(a.tobytes(), ta, b.tobytes(), tb, idf) >= neardup.SIMILAR:
+            assert len(np.intersect1d(neardup.rarest(a, neardup.weights(a, ta, idf), idf), neardup.rarest(b, neardup.weights(b, tb, idf), idf)))
+
+
+def test_texts_that_share_no_rare_shingle_are_not_compared(spark):
+    rows = _family(300, 0)
+    long = [(i, t + " " + " ".join(f"own{i}x{j}" for j in range(60))) for i, t in rows]
+    for texts, left in ((long, 0), (rows, 300)):
+        base = neardup.shingled(spark.createDataFrame(texts, "id long, text string"), "id", "text")
+        members = base.select("key", F.col("key").alias("own"))
+        assert neardup._open(members, base.select("key", "shingles", "times"), neardup.idf_table(base)).count() == left
+
+
+def test_undamped_idf_would_split_a_group_of_copies(spark):
+    """300 texts at 0.87 of each other by plain shingles: one class. By undamped idf they are below 0.8 of each other."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    passage = [word() for _ in range(130)]
+    rows = [(i, " ".join([*passage, word(), word(), word(), word(), *[word() for _ in range(5)]])) for i in range(300)] + [(1000 + i, " ".join(word() for _ in range(100))) for i in range(300)]
+    base = neardup.shingled(spark.createDataFrame(rows, "id long, text string"), "id", "text").toPandas().set_index("id")
+    sets = {i: np.frombuffer(s, dtype="<u4") for i, s in base["shingles"].items()}
+    df = {}
+    for s in sets.values():
+        for x in s.tolist():
+            df[x] = df.get(x, 0) + 1
+    weigh = lambda s: sum(np.log((len(rows) + 1) / (df[x] + 1)) + 1 for x in s)
+    both, either = set(sets[0].tolist()) & set(sets[1].tolist()), set(sets[0].tolist()) | set(sets[1].tolist())
+    assert len(both) / len(either) > 0.86 and weigh(both) / weigh(either) < 0.8
+    out = {r["id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "id long, text string"), "id").collect()}
+    assert {out[i] for i in range(300)} == {0} and len({out[1000 + i] for i in range(300)}) == 300
+
+
+def test_links_of_a_large_group_as_by_weighted_brute_force(spark):
+    """Classes of 700 texts, most of them near copies of a few originals with one to many words changed, and exact copies."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    rows, originals = [], [[word() for _ in range(rng.randint(40, 150))] for _ in range(6)]
+    for i in range(700):
+        t = list(originals[0] if i % 2 else rng.choice(originals))
+        for _ in range(rng.choice([0, 1, 1, 2, 4, 8])):
+            t[rng.randrange(len(t))] = word()
+        rows.append((i, " ".join(t + t[: rng.choice([0, 0, 30])])))
+    d = spark.createDataFrame(rows, "id long, text string")
+    mine = {r["id"]: r["class_id"] for r in neardup.classes(d, "id").collect()}
+    base = neardup.shingled(d, "id", "text")
+    idf, held = neardup.idf_table(base), base.toPandas()
+    root = {i: i for i in held["id"]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for x in range(len(held)):
+        for y in range(x + 1, len(held)):
+            a, b = held.iloc[x], held.iloc[y]
+            if 0.7 < len(a["shingles"]) / len(b["shingles"]) < 1.43 and neardup.similarity(a["shingles"], a["times"], b["shingles"], b["times"], idf) >= neardup.SIMILAR:
+                links += mine[a["id"]] != mine[b["id"]]
+                low, high = sorted((find(a["id"]), find(b["id"])))
+                root[high] = low
+    assert links == 0 and {i: find(i) for i in mine} == mine
+
+
 def test_consistent_samples_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 32, 400, dtype=np.uint32)

@@ -34,6 +34,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Removes the files of a table that written() made and nothing reads any more."""
+    spark = table.sparkSession
+    for f in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have yet, whatever its case."""
     taken, name = {c.lower() for c in df.columns}, f"_{base}"

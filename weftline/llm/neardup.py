@@ -1,12 +1,15 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Texts become sorted 32-bit hashes of five-word shingles. A shingle weighs (1 + ln tf) x idf, where document frequencies of all
-documents are counted in a hashed table of fixed size and idf is damped into [1, 1 + IDF_PULL], so that a group of thousands of
-copies doesn't make its own shared shingles worthless. Consistent weighted samples are banded. In each bucket all members are
-held against one representative by weighted Jaccard similarity: the member that shares most buckets with others, so the hub of a
-group of copies. Links are joined into components by alternating stars. Then every two members of a bucket that are not in one
-component yet are compared, block by block in tasks of bounded size, so no two texts that share a bucket are left out. Exact
-copies (the same words) are one node from the start. Nothing about single documents reaches the driver.
+documents are counted in a hashed table of fixed size. idf is damped into [1, 1 + IDF_PULL]: undamped, the shingles that a group
+of thousands of copies shares weigh next to nothing against each copy's own few words, and copies at 0.9 of each other come out
+below 0.8 (tests/llm shows it). Consistent weighted samples are banded. In each bucket all members are held against one
+representative by weighted Jaccard similarity: the member that shares most buckets with others, so the hub of a group of copies.
+Links are joined into components by alternating stars. What is left in buckets of several components goes through an exact
+filter: the shingles of each text in one order of rarity, as many of the rarest as weigh more than a fifth of it; texts at 0.8
+share one of these, so a text that shares none with another component has no link left to find. The others of a bucket that are
+in different components are compared, block by block in tasks of bounded size, so no two texts that share a bucket are left out.
+Exact copies (the same words) are one node from the start. Nothing about single documents reaches the driver.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fresh, mix64, slabs, sum_arrays, written
+from weftline.llm.common import forget, fresh, mix64, slabs, sum_arrays, written
 
 WORD = re.compile(r"\w+")
 #: Words of a shingle, least similarity of a link, bands and samples of each (a link at 0.8 is missed once in 20,000).
@@ -79,7 +82,7 @@ def shingled(docs: DataFrame, id_: str, text: str) -> DataFrame:
                 done += len(run)
                 for i, t in zip(ids, run, strict=True):
                     key, found, times = shingler(t)
-                    out.append((i, key, found.astype("<u4").tobytes(), np.minimum(times, 65535).astype("<u2").tobytes() if len(times) and times.max() > 1 else None))
+                    out.append((i, key, found.astype("<u4").tobytes(), times.astype("<u4").tobytes() if len(times) and times.max() > 1 else None))
                 yield pd.DataFrame({"id": [r[0] for r in out], "key": pd.array([r[1] for r in out], dtype="Int64"), "shingles": [r[2] for r in out], "times": [r[3] for r in out]})
 
     return docs.select(id_, text).mapInPandas(rows, "id long, key long, shingles binary, times binary")
@@ -104,7 +107,7 @@ def idf_table(rows: DataFrame) -> np.ndarray:
 
 def weights(shingles: np.ndarray, times: bytes | None, idf: np.ndarray) -> np.ndarray:
     w = idf[shingles >> np.uint32(14)]
-    return w * (1 + np.log(np.frombuffer(times, dtype="<u2").astype(np.float32))) if times else w
+    return w * (1 + np.log(np.frombuffer(times, dtype="<u4").astype(np.float32))) if times else w
 
 
 class Sampler:
@@ -197,7 +200,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = written(small)
+        last, edges = edges, written(small)
+        forget(last)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         if tuple(state) == before or state[0] == 0:
             return edges.select(F.col("a").alias("key"), F.col("b").alias("comp"))
@@ -211,6 +215,33 @@ def _hubs(cells: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFrame:
     return written(verified(cells.join(hubs, "cell").where("key <> rep").select("key", "rep").distinct(), nodes, idf))
 
 
+def rarest(shingles: np.ndarray, weight: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The rarest shingles that weigh more than what a similar text may lack: a text at SIMILAR has one of them among its own rarest.
+
+    Texts at s share at least s of either's weight. Were the rarest shingle that both have not among these, all they share would
+    lie behind, and that weighs less than s.
+    """
+    order = np.lexsort((shingles, -idf[shingles >> np.uint32(14)]))
+    behind = weight.sum(dtype=float) - np.cumsum(weight[order], dtype=float)
+    return shingles[order[: int(np.argmax(behind < (SIMILAR - SLACK) * weight.sum(dtype=float))) + 1]]
+
+
+def _open(members: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Of (key, own) the keys whose rarest shingles include one of another component's members."""
+    table = members.sparkSession.sparkContext.broadcast(idf)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.frombuffer(s, dtype="<u4") for s in batch["shingles"]]
+            found = [rarest(s, weights(s, t, table.value), table.value) for s, t in zip(sets, batch["times"], strict=True)]
+            n = [len(f) for f in found]
+            yield pd.DataFrame({"shingle": np.concatenate([np.zeros(0, dtype=np.uint32), *found]).astype(np.int64), "key": np.repeat(batch["key"].to_numpy(), n), "own": np.repeat(batch["own"].to_numpy(), n)})
+
+    cuts = written(members.join(nodes, "key").select("key", "own", "shingles", "times").mapInPandas(cut, "shingle long, key long, own long"))
+    several = cuts.groupBy("shingle").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("shingle")
+    return written(cuts.join(several, "shingle", "left_semi").select("key").distinct())
+
+
 def _rest(cells: DataFrame, comp: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFrame:
     """Links (key, rep) among all pairs of a cell whose members are in different components; each pair is compared once.
 
@@ -218,7 +249,10 @@ def _rest(cells: DataFrame, comp: DataFrame, nodes: DataFrame, idf: np.ndarray)
     and against those of the largest component, each two of them in a group of its own; so no task has more than two blocks,
     and members of the largest component are never held against each other.
     """
-    named = cells.join(comp, "key", "left").select("cell", "key", F.coalesce("comp", "key").alias("own"))
+    named = written(cells.join(comp, "key", "left").select("cell", "key", F.coalesce("comp", "key").alias("own")))
+    mixed = named.groupBy("cell").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("cell")
+    members = named.join(mixed, "cell", "left_semi").select("key", "own").distinct()
+    named = named.join(_open(members, nodes, idf), "key", "left_semi")
     sizes = named.groupBy("cell", "own").count().groupBy("cell").agg(F.count("*").alias("several"), F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("own", F.struct("count", "own")).alias("main")).where("several > 1")
     small = F.col("n") <= BLOCK
     others = F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("most")) / BLOCK)).cast("int")
@@ -229,7 +263,7 @@ def _rest(cells: DataFrame, comp: DataFrame, nodes: DataFrame, idf: np.ndarray)
     against = F.explode(F.sequence(F.lit(0), F.when(F.col("in_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1))
     rows = rows.withColumn("at", at).withColumn("against", against)
     rows = rows.select("cell", F.least("at", "against").alias("lo"), F.greatest("at", "against").alias("hi"), "at", "key", "own")
-    own_cells = cells.groupBy("key").agg(F.collect_list("cell").alias("cells"))
+    own_cells = named.groupBy("key").agg(F.collect_list("cell").alias("cells"))
     rows = rows.join(nodes.join(own_cells, "key"), "key").repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
     table = cells.sparkSession.sparkContext.broadcast(idf)
 
@@ -290,18 +324,18 @@ def block_links(group: pd.DataFrame, idf: np.ndarray) -> list[tuple[int, int]]:
 
 
 def layers(held: bytes, times: bytes | None) -> np.ndarray:
-    """A number for each shingle and each of its occurrences: shingle, and in the low 16 bits which occurrence."""
-    s = np.frombuffer(held, dtype="<u4").astype(np.int64) << 16
+    """A number for each shingle and each of its occurrences: shingle, and in the low 31 bits which occurrence."""
+    s = np.frombuffer(held, dtype="<u4").astype(np.int64) << 31
     if not times:
         return s
-    n = np.frombuffer(times, dtype="<u2").astype(np.int64)
+    n = np.frombuffer(times, dtype="<u4").astype(np.int64)
     return np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def layer_weights(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """What an occurrence adds to the shingle's weight."""
-    k = (x & 0xFFFF).astype(float)
-    return (idf[x >> 30] * np.where(k > 0, np.log1p(k) - np.log(np.maximum(k, 1)), 1)).astype(np.float32)
+    k = (x & 0x7FFFFFFF).astype(float)
+    return (idf[x >> 45] * np.where(k > 0, np.log1p(k) - np.log(np.maximum(k, 1)), 1)).astype(np.float32)
 
 
 def shared(a: list[np.ndarray], b: list[np.ndarray], weight: Callable[[np.ndarray], np.ndarray], step: int = 8192) -> np.ndarray:
