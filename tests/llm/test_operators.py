@@ -603,6 +603,42 @@ def test_odd_vectors(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_extreme_and_unequal_vectors(spark):
+    big, small = 1e200, 1e-200
+    rows = [(0, [big, 0.0]), (1, [big, big]), (2, [small, small * 2]), (3, [0.0, 5e-324]), (50, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 1.0]), (5, [2.0, 1.0, 0.0]), (6, [1.0]), (100, [3.0])]
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], round(r["score"], 6)) for r in out] == [(0, 1, 0.707107), (0, 2, 0.447214), (0, 3, 0.0), (50, 5, 0.894427), (50, 4, 0.0), (100, 6, 1.0)]
+
+
+def test_blocks_of_queries_and_pruning(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 32))
+    x = (centres[:, None, :] + 0.12 * rng.normal(size=(60, 50, 32))).reshape(-1, 32)
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    one = sorted(map(tuple, ann.search(e, F.col("vec_id") % 50 == 0).collect()))
+    monkeypatch.setattr(ann, "BLOCK", 13)
+    assert sorted(map(tuple, ann.search(e, F.col("vec_id") % 50 == 0).collect())) == one
+    unit = ann.units(x)
+    index = ann.MultiIndex(ann.codes(unit, ann.rotations(unit)), np.arange(len(x)))
+    hits = 0
+    for q in range(0, 3000, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        rows = index.within(index.code[q], 24, 6)
+        hits += len(set(np.argsort(-s)[:5]) & set(rows.tolist()))
+    assert hits / 300 > 0.9 and index.touched / 60 < 0.1 * len(x)
+
+
+def test_within_a_radius_as_by_brute_force():
+    rng = np.random.default_rng(3)
+    code = rng.integers(0, 256, (2000, 8)).astype(np.uint8)
+    index = ann.MultiIndex(code, np.arange(2000))
+    for radius in (5, 15, 24, 30, 40):
+        q = rng.integers(0, 256, 8).astype(np.uint8)
+        far = ann.POPCOUNT[code ^ q].sum(axis=1, dtype=int)
+        assert index.within(q, radius, 0).tolist() == np.flatnonzero(far <= radius).tolist()
+
+
 def test_an_id_repeated_more_than_k_times_takes_one_place(spark):
     rows = [(0, [1.0, 0.0]), *[(1, [1.0, 0.01])] * 30, *[(i, [1.0, 0.1 * i]) for i in range(2, 9)]]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
