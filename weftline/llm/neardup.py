@@ -230,12 +230,22 @@ def _open(members: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFrame:
     """Of (key, own) the keys whose rarest shingles include one of another component's members."""
     table = members.sparkSession.sparkContext.broadcast(idf)
 
+    def table_of(run: list) -> pd.DataFrame:
+        n = [len(r[2]) for r in run]
+        return pd.DataFrame({"shingle": np.concatenate([r[2] for r in run]).astype(np.int64), "key": np.repeat([r[0] for r in run], n), "own": np.repeat([r[1] for r in run], n)})
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [np.frombuffer(s, dtype="<u4") for s in batch["shingles"]]
-            found = [rarest(s, weights(s, t, table.value), table.value) for s, t in zip(sets, batch["times"], strict=True)]
-            n = [len(f) for f in found]
-            yield pd.DataFrame({"shingle": np.concatenate([np.zeros(0, dtype=np.uint32), *found]).astype(np.int64), "key": np.repeat(batch["key"].to_numpy(), n), "own": np.repeat(batch["own"].to_numpy(), n)})
+            run, held = [], 0
+            for key, own, sh, times in zip(batch["key"], batch["own"], batch["shingles"], batch["times"], strict=True):
+                s = np.frombuffer(sh, dtype="<u4")
+                run.append((key, own, rarest(s, weights(s, times, table.value), table.value)))
+                held += len(run[-1][2])
+                if held > 60_000:
+                    yield table_of(run)
+                    run, held = [], 0
+            if run:
+                yield table_of(run)
 
     cuts = written(members.join(nodes, "key").select("key", "own", "shingles", "times").mapInPandas(cut, "shingle long, key long, own long"))
     several = cuts.groupBy("shingle").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("shingle")
