@@ -576,6 +576,27 @@ def test_url_counts_are_exact_for_many_contexts(spark):
         assert out[i]["ratio"] == pytest.approx(total / len(rows[i][1].lower().encode()), abs=1e-9)
 
 
+def test_verdicts_of_urls_without_a_rule(spark):
+    """Held out: allowed and blocked paths differ in their words; on hosts without a rule they are told apart."""
+    rng = random.Random(7)
+    good, bad = (["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)] for _ in range(2))
+    path = lambda words: "/".join(rng.choice(words) + str(rng.randrange(1000)) for _ in range(4))
+    rows = [(f"http://h{i % 50}.org/{path(good)}", None) for i in range(1500)] + [(f"http://h{i % 50}.com/de/{path(bad)}", None) for i in range(1500)]
+    rows += [(f"http://h{i % 50}.net/{path(good)}", "allow") for i in range(300)] + [(f"http://h{i % 50}.net/{path(bad)}", "block") for i in range(300)]
+    out = urls.judge(spark.createDataFrame(rows * 2, "url string, want string")).toPandas()
+    rest = out[out["want"].notna()]
+    assert len(out) == 2 * len(rows) and rest["rule"].isna().all() and (rest["verdict"] == rest["want"]).mean() > 0.9
+
+
+def test_long_urls_are_taken_apart_piece_by_piece(monkeypatch):
+    rng = random.Random(1)
+    long = ["http://a.org/" + "".join(rng.choice("abcé/") for _ in range(n)) for n in (0, 3, 700, 40, 5000)]
+    whole = [np.concatenate(x) for x in zip(*urls._windows(long))]
+    monkeypatch.setattr(urls, "PIECE", 64)
+    pieces = list(urls._windows(long))
+    assert len(pieces) > 20 and all((np.concatenate(x) == w).all() for x, w in zip(zip(*pieces), whole))
+
+
 # 9. Nearest neighbours
 
 
