@@ -205,7 +205,7 @@ class Engine:
 
 def api_edges(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """Edges from callers of URLs to the views that answer them: file::view, or the routes' file where no view is named."""
-    place = routes.withColumn("_k", F.struct("file_path", "place")).withColumn("place", F.xxhash64("file_path", "place"))
+    place = routes.withColumn("place", F.xxhash64("file_path", "place"))
     found = graph.urls_matched(calls.select(F.col("target_entity").alias("url")), place.select("place", "pattern"))
     first = routes.groupBy("pattern").agg(F.min(F.struct("file_path", "place", "view")).alias("r")).select("pattern", F.concat_ws("::", "r.file_path", F.when(F.col("r.view") != "", F.col("r.view"))).alias("_view"))
     hit = found.select(F.col("url").alias("target_entity"), "pattern").join(first, "pattern").drop("pattern")

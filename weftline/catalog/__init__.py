@@ -2,9 +2,9 @@
 
 
 def _modules():
-    from weftline.catalog import basic, procedural, relations, search
+    from weftline.catalog import basic, generated, procedural, relations, search
 
-    return (basic, search, relations, procedural)
+    return (basic, search, relations, procedural, generated)
 
 
 def queries():

@@ -95,9 +95,9 @@ def chunk_id(spark, d):
     return files(spark, d).select("doc_id", P.chunk_id(F.col("file_path"), F.expr(SQL_KIND), name, F.col("content")).alias("chunk_id"))
 
 
-@query("SELECT doc_id, concat_ws(chr(10), nullif(source, ''), CASE WHEN doc_id % 2 = 0 THEN lang END, left(text, 20)) AS joined FROM documents")
+@query("SELECT doc_id, concat_ws(chr(10), nullif(source, ''), CASE WHEN doc_id % 2 = 0 THEN lang END, nullif(text, '')) AS joined FROM documents")
 def concat_optional(spark, d):
-    return table(spark, d, "documents").select("doc_id", P.joined(F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.left("text", F.lit(20))).alias("joined"))
+    return table(spark, d, "documents").select("doc_id", P.joined(F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("text")).alias("joined"))
 
 
 @query(f"SELECT doc_id, file_path, coalesce(NULL, 0) AS line_start, len(string_split(content, chr(10)))::INT AS line_end, {SQL_LANG} AS language, {SQL_TEST} AS is_test, array_to_string(string_split(content, chr(10))[1:5], chr(10)) AS snippet FROM {FILES_SQL}")
@@ -201,8 +201,8 @@ SQL_INTENT = (
     f"WHEN {_sql_any(T.LOCATION_PHRASES)} THEN 'location' WHEN {_sql_any(T.DOCS_PHRASES)} THEN 'docs' WHEN coalesce({SQL_WORDS}[1], '') IN ('how', 'what') AND rtrim(q) LIKE '%?' THEN 'docs' "
     f"WHEN regexp_matches(trim(q), '{T.BARE}') THEN 'location' ELSE 'code' END"
 )
-#: Questions made from items: a prefix by number, then the first words.
-SQL_Q = "concat(CASE CAST(item_id % 10 AS INT) WHEN 0 THEN 'where is ' WHEN 1 THEN 'why fail ' WHEN 2 THEN 'how does ' WHEN 3 THEN 'fix the bug ' WHEN 4 THEN 'what ' WHEN 5 THEN 'investigate issue ' WHEN 6 THEN '' WHEN 7 THEN 'find ' WHEN 8 THEN 'why ' ELSE 'get_' END, CASE WHEN item_id % 10 = 6 OR item_id % 10 = 9 THEN lower(regexp_extract(text, '[A-Za-z]+')) ELSE left(text, 30) END, CASE WHEN item_id % 10 IN (2, 4, 8) THEN '?' ELSE '' END)"
+#: Questions made from items: a prefix by number, then the text, or its first word alone.
+SQL_Q = "concat(CASE CAST(item_id % 10 AS INT) WHEN 0 THEN 'where is ' WHEN 1 THEN 'why fail ' WHEN 2 THEN 'how does ' WHEN 3 THEN 'fix the bug ' WHEN 4 THEN 'what ' WHEN 5 THEN 'investigate issue ' WHEN 6 THEN '' WHEN 7 THEN 'find ' WHEN 8 THEN 'why ' ELSE 'get_' END, CASE WHEN item_id % 10 = 6 OR item_id % 10 = 9 THEN lower(regexp_extract(text, '[A-Za-z]+')) ELSE text END, CASE WHEN item_id % 10 IN (2, 4, 8) THEN '?' ELSE '' END)"
 
 
 def _questions(spark, d):
@@ -279,12 +279,13 @@ def stopword_safeguard(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.without_stop_words(T.words(F.col("text"))).alias("kept"))
 
 
-@query(f"SELECT item_id, list_transform(list_sort(list_distinct(words)), lambda w: w) AS words FROM (SELECT item_id, {SQL_WORDS} AS words FROM (SELECT item_id, text AS q FROM benchmark))")
+@query(f"SELECT item_id, list(w ORDER BY i) AS words FROM (SELECT item_id, w, min(i) AS i FROM (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT item_id, {SQL_WORDS} AS ws FROM (SELECT item_id, text AS q FROM benchmark))) GROUP BY ALL) GROUP BY item_id")
 def ordered_distinct(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_sort(F.array_distinct(T.words(F.col("text")))).alias("words"))
+    """Words in order of first occurrence."""
+    return table(spark, d, "benchmark").select("item_id", F.array_distinct(T.words(F.col("text"))).alias("words"))
 
 
-SQL_RESPONSE = "CASE WHEN doc_id % 3 = 0 THEN concat('Description: ', left(text, 40), chr(10), 'Keywords: ', lang) WHEN doc_id % 3 = 1 THEN concat('keywords:', source) ELSE left(text, 40) END"
+SQL_RESPONSE = "CASE WHEN doc_id % 3 = 0 THEN concat('Description: ', text, chr(10), 'Keywords: ', lang) WHEN doc_id % 3 = 1 THEN concat('keywords:', source) ELSE text END"
 
 
 @query(
@@ -296,21 +297,76 @@ def parse_response(spark, d):
     return r.select("doc_id", T.enrichment(F.col("r")).alias("e")).select("doc_id", "e.description", "e.keywords")
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^(System|Human|Assistant):[ \\t]*', '', 'g'), '(?m)^#.*metadata.*$', '', 'g'), '/(home|Users)/[^/\\s]+/', '/project/', 'g'), '```[\\s\\S]*?```', '[code]', 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', concat(chr(10), chr(10)), 'g')) AS text FROM (SELECT conv_id, turn, concat('Human: see /home/me/x and ', text, '  ', chr(10), chr(10), chr(10), '```a```') AS text FROM conversations)")
+def _passes(sql: str, passes) -> str:
+    for pattern, by in passes:
+        sql = "regexp_replace({}, '{}', '{}', 'g')".format(sql, pattern.replace("'", "''"), by.replace("'", "''"))
+    return sql
+
+
+#: A raw transcript around each message: prompt, headers of calls, fields, paths, code, prose.
+RAW = (
+    "concat('## Task Prompt\n\nTASK:\nFind it ', CAST(turn AS STRING), '\n\nINSTRUCTIONS: x\n### Assistant\n\nTool calls: 3\n\n', text, '\n**[Tool Call 1] Grep:** pattern=`a b` path=`/home/me/work/x` mode=content\n**[Tool Call 2] Glob:** z\n"
+    "{\n  \"score\": 0.5,\n  \"file\": \"/home/me/work/a.py\",\n  \"is_test\": true\n}\nSee /home/me/work (score: 0.31) and I''ll grep with ripgrep by seeker Grep: no Grep yes.\n```bash\ngrep -rn \"def f\" src | head\nrg ''x y'' --stats\nfind . -name \"*.py\" -print\n```\nsemantic results of exhaustive mode, low confidence (0.2)\n')"
+)
+RAW_SQL = RAW.replace("\n", "' || chr(10) || '")
+SQL_TASK = "concat('## Task', chr(10), chr(10), 'Find it ', CAST(turn AS STRING), chr(10), chr(10), '---', chr(10), chr(10))"
+SQL_CLEAN = _passes(_passes("concat(" + SQL_TASK + ", substr(r, position('### Assistant' IN r)))", T.HEADERS), T.FIELDS)
+SQL_CODE = _passes("regexp_replace(x, '^bash\\n', chr(10))", T.COMMANDS)
+
+
+@query(
+    f"SELECT conv_id, turn, regexp_replace({_passes('c', T.PROSE)}, '(?i)\\bseeker\\b', 'the tool', 'g') AS text FROM (SELECT conv_id, turn, array_to_string(list_transform(string_split(replace(replace({SQL_CLEAN}, '/home/me/work/', ''), '/home/me/work', '.'), '```'), lambda x, i: CASE WHEN i % 2 = 0 THEN {SQL_CODE} ELSE x END), '```') AS c FROM (SELECT conv_id, turn, {RAW_SQL} AS r FROM conversations))"
+)
 def sanitize(spark, d):
-    raw = F.concat(F.lit("Human: see /home/me/x and "), F.col("text"), F.lit("  \n\n\n```a```"))
-    return table(spark, d, "conversations").select("conv_id", "turn", T.sanitized(raw).alias("text"))
+    """Raw transcripts without what tells which tool made them."""
+    raw = F.expr(RAW.replace("''", "\\'").replace("\n", "\\n"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.sanitized(raw, ["/home/me/work"], {"seeker": "the tool"}).alias("text"))
+
+
+#: Replies of a judge: JSON alone, in a code block with words around, out of range, incomplete, none.
+REPLY = "concat(CASE WHEN doc_id % 5 = 1 THEN 'Scores follow\n```json\n' ELSE '' END, CASE WHEN doc_id % 5 < 4 THEN concat('{\"alpha\": {\"discovery\": ', CAST(1 + doc_id % 5 AS STRING), ', \"precision\": 2.5}, \"beta\": {\"discovery\": ', CAST(doc_id % 7 AS STRING), CASE WHEN doc_id % 5 = 3 THEN '' ELSE ', \"precision\": 4' END, '}}') ELSE 'no scores' END, CASE WHEN doc_id % 5 = 1 THEN '\n```' ELSE '' END)"
+SQL_TRIES = "[r, regexp_extract(r, '\\{[^{}]*\"alpha\"[^{}]*\"beta\"[^{}]*\\}'), regexp_extract(r, '(\\{[\\s\\S]*?\"alpha\"[\\s\\S]*?\"beta\"[\\s\\S]*?\\})(\\s*$|\\s*```)', 1)]"
+SQL_SCORES = "[" + ", ".join(f"TRY_CAST(json_extract_string(j, '$.{k}.{x}') AS DOUBLE)" for k in ("alpha", "beta") for x in ("discovery", "precision")) + "]"
 
 
-@query("SELECT event_id, TRY_CAST(regexp_extract(s, '\"k\": *([0-9]+)', 1) AS INT) AS k FROM (SELECT event_id, concat('Scores: ', props, ' end') AS s FROM events)")
+@query(f"SELECT doc_id, v[1] AS alpha_discovery, v[3] AS beta_discovery FROM (SELECT doc_id, CASE WHEN len(list_filter(s, lambda x: x BETWEEN 1 AND 5)) = 4 THEN s END AS v FROM (SELECT doc_id, {SQL_SCORES} AS s FROM (SELECT doc_id, list_filter({SQL_TRIES}, lambda x: regexp_matches(x, '^\\s*\\{{') AND json_valid(x))[1] AS j FROM (SELECT doc_id, {REPLY.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))} AS r FROM documents))))")
 def json_extract(spark, d):
-    found = F.regexp_extract(F.concat(F.lit("Scores: "), "props", F.lit(" end")), r"\{[^{}]*\}", 0)
-    return table(spark, d, "events").select("event_id", F.from_json(found, "k int")["k"].alias("k"))
+    """Scores out of a judge's reply, by three tries; null unless all are there, from 1 to 5."""
+    r = table(spark, d, "documents").select("doc_id", F.expr(REPLY.replace("\n", "\\n")).alias("r"))
+    scores = T.valid_scores(T.extracted_json(F.col("r")), ("discovery", "precision"))
+    return r.select("doc_id", scores.alias("v")).select("doc_id", "v.alpha_discovery", "v.beta_discovery")
 
 
-@query("SELECT conv_id, sum(len(regexp_extract_all(text, '\\b[Tt]h\\w*')))::BIGINT AS hits, max(CASE WHEN contains(text, 'ing') THEN 1 ELSE 0 END) AS any_ing FROM conversations GROUP BY conv_id")
+EVENTS = "concat('{\"intent\": \"', CASE WHEN turn % 3 = 0 THEN 'LOCATION' ELSE 'CODE' END, '\", \"confidence_label\": \"', CASE WHEN turn % 2 = 0 THEN 'HIGH' ELSE 'LOW' END, '\", \"auto_escalated\": ', CASE WHEN length(text) % 2 = 0 THEN 'true' ELSE 'false' END, '} ', text)"
+
+
+@query("SELECT conv_id, " + ", ".join(f"sum(len(regexp_extract_all(t, '{p}')))::BIGINT AS {n}" for n, p in T.BEHAVIOUR.items()) + f" FROM (SELECT conv_id, {EVENTS} AS t FROM conversations) GROUP BY conv_id")
 def regex_counts(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.regexp_count("text", F.lit(r"\b[Tt]h\w*"))).alias("hits"), F.max(F.when(F.contains("text", F.lit("ing")), 1).otherwise(0)).alias("any_ing"))
+    """What a search's responses in raw transcripts tell: escalations, labels, escalated locations."""
+    t = table(spark, d, "conversations").select("conv_id", F.expr(EVENTS).alias("t"))
+    return t.groupBy("conv_id").agg(*[F.sum(F.regexp_count("t", F.lit(p))).alias(n) for n, p in T.BEHAVIOUR.items()])
+
+
+@query(f"SELECT doc_id, {SQL_LANG} AS language, CASE lower(regexp_extract(file_path, '[^.]*$')) WHEN 'py' THEN 'python' WHEN 'ts' THEN 'script' WHEN 'tsx' THEN 'script' WHEN 'js' THEN 'script' WHEN 'jsx' THEN 'script' ELSE 'text' END AS parser FROM {FILES_SQL}")
+def parser_choice(spark, d):
+    from weftline.operators.chunking import parser
+
+    return files(spark, d).select("doc_id", P.language(F.col("file_path")).alias("language"), parser(F.col("file_path")).alias("parser"))
+
+
+@query("SELECT o_orderkey, map_keys(m) AS k, map_values(m) AS v FROM (SELECT o_orderkey, map_concat(MAP {'a': o_orderstatus, 'b': o_orderpriority}, MAP {'b': o_orderdate::DATE::VARCHAR, 'c': o_orderstatus}) AS m FROM orders)")
+def merge_maps(spark, d):
+    """Two structures as one; of both the later one's values."""
+    m = T.right_wins(F.create_map(F.lit("a"), "o_orderstatus", F.lit("b"), "o_orderpriority"), F.create_map(F.lit("b"), F.col("o_orderdate").cast("date").cast("string"), F.lit("c"), "o_orderstatus"))
+    return table(spark, d, "orders").select("o_orderkey", m.alias("m")).select("o_orderkey", F.map_keys("m").alias("k"), F.map_values("m").alias("v"))
+
+
+@query(f"SELECT doc_id, concat_ws(chr(10), concat('[File]: ', file_path), concat('[Layer]: ', {SQL_LAYER}), concat('[App]: ', {SQL_APP}), concat('[Description]: ', content), concat('[Keywords]: ', lang), CASE WHEN doc_id % 2 = 0 THEN '[Callers]: a, b' END, CASE WHEN doc_id % 3 = 0 THEN '[Imports]: c' END) AS t FROM (SELECT * FROM {FILES_SQL} JOIN (SELECT doc_id, lang FROM documents) USING (doc_id))")
+def enriched_text(spark, d):
+    """The labelled text of a described chunk."""
+    p, none = F.col("file_path"), F.array().cast("array<string>")
+    some = lambda k, *names: F.when(F.col("doc_id") % k == 0, F.array(*[F.lit(n) for n in names])).otherwise(none)
+    return files(spark, d).select("doc_id", P.enriched_text(p, P.layer(p), P.app_name(p), F.col("content"), F.col("lang"), some(2, "a", "b"), none, some(3, "c")).alias("t"))
 
 
 @query(f"SELECT doc_id, file_path FROM {FILES_SQL} WHERE NOT regexp_matches(file_path, '(^|/)generated/|\\.toml$|(^|/)Makefile$') OR starts_with(file_path, 'src1/')")

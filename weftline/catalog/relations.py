@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.catalog.basic import SQL_LANG
 from weftline.catalog.standins import EDGES_SQL, FILES_SQL, PATH, edges, files, table
+from weftline.api import file_summaries
 from weftline.functions import paths as P
 from weftline.operators import analytics as A
 from weftline.operators import graph as H
@@ -94,15 +95,16 @@ LANGUAGE_OF = SQL_LANG.replace("file_path", _file("x"))
 DEGREE = "(SELECT x AS entity, count(*) AS n FROM (SELECT source_entity AS x FROM e UNION ALL SELECT target_entity FROM e WHERE target_entity <> source_entity) GROUP BY x)"
 RANKED = (
     f"{E}, ent AS (SELECT DISTINCT x FROM (SELECT source_entity AS x FROM e UNION ALL SELECT target_entity FROM e)), deg AS {DEGREE}, "
-    "c AS (SELECT name, x FROM names JOIN ent ON length(name) >= 3 AND ends_with(lower(x), lower(name))), "
+    "c AS (SELECT name, x FROM names JOIN ent ON ends_with(lower(x), lower(name))), "
     "r AS (SELECT name, arg_min(x, (x <> name, contains(x, 'generated/') OR contains(x, 'node_modules/') OR contains(x, '.d.ts'), -n, x)) AS entity FROM c JOIN deg ON entity = x GROUP BY name) "
 )
-NAMES = "(SELECT n_name AS name FROM nation UNION SELECT concat('Supplier', CAST(s_suppkey AS STRING)) FROM supplier UNION SELECT 'nowhere' UNION SELECT lower(r_name) FROM region)"
+NAMES = "(SELECT n_name AS name FROM nation UNION SELECT concat('Supplier', CAST(s_suppkey AS STRING)) FROM supplier UNION SELECT 'nowhere' UNION SELECT lower(r_name) FROM region UNION SELECT right(n_name, 1) FROM nation UNION SELECT right(n_name, 2) FROM nation)"
 
 
 def _names(spark, d):
     n, s, r = (table(spark, d, t) for t in ("nation", "supplier", "region"))
     some = n.select(F.col("n_name").alias("name")).union(s.select(F.concat(F.lit("Supplier"), F.col("s_suppkey").cast("string")))).union(r.select(F.lower("r_name")))
+    some = some.union(n.select(F.right("n_name", F.lit(1)))).union(n.select(F.right("n_name", F.lit(2))))
     return some.union(spark.createDataFrame([("nowhere",)], "name string")).distinct()
 
 
@@ -111,12 +113,13 @@ def resolve_entity(spark, d):
     return H.resolved(_names(spark, d), edges(spark, d))
 
 
-CANDIDATES = "(SELECT r_name AS q, concat('geo/nations.py::', n_name) AS x FROM region JOIN nation ON r_regionkey = n_regionkey)"
+CANDIDATES = "(SELECT r_name AS q, concat('geo/nations.py::', n_name) AS x FROM region JOIN nation ON r_regionkey = n_regionkey UNION ALL SELECT r_name, 'sales/customers.py::Customer9' FROM region WHERE r_regionkey = 1)"
 
 
 def _candidates(spark, d):
     r, n = table(spark, d, "region"), table(spark, d, "nation")
-    return r.join(n, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("q"), F.concat(F.lit("geo/nations.py::"), "n_name").alias("entity"))
+    own = r.join(n, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("q"), F.concat(F.lit("geo/nations.py::"), "n_name").alias("entity"))
+    return own.union(r.where("r_regionkey = 1").select("r_name", F.lit("sales/customers.py::Customer9")))
 
 
 @query(f"{E}, deg AS {DEGREE} SELECT q, arg_min(x, ({LANGUAGE_OF} <> 'python', -coalesce(n, 0), x)) AS entity FROM {CANDIDATES} LEFT JOIN deg ON deg.entity = x GROUP BY q")
@@ -124,12 +127,13 @@ def resolve_rank(spark, d):
     return H.ranked(_candidates(spark, d), edges(spark, d), "q", F.lit("python"))
 
 
-@query(f"{E} SELECT q, arg_min(x, (CASE WHEN x IN (SELECT target_entity FROM e WHERE source_entity = 'geo/regions.ts::' || 'ASIA') THEN 1 ELSE 2 END, x)) AS entity FROM {CANDIDATES} GROUP BY q")
+@query(
+    f"{E}, im AS (SELECT DISTINCT target_entity AS x, 1 AS linked FROM e WHERE source_entity = 'sales/customers.py::Customer1') "
+    f"SELECT q, arg_min(x, (CASE WHEN regexp_extract({_file('x')}, '^(.*)/[^/]*$', 1) = 'sales' THEN 0 WHEN linked = 1 THEN 1 ELSE 2 END, x)) AS entity FROM {CANDIDATES} LEFT JOIN im USING (x) GROUP BY q"
+)
 def resolve_context(spark, d):
-    return H.in_context(_candidates(spark, d), edges(spark, d), "q", "geo/regions.ts::ASIA")
-
-
-SQL["resolve_context"] = f"{E} SELECT q, arg_min(x, (0, x)) AS entity FROM {CANDIDATES} GROUP BY q"
+    """A candidate of the directory of the file at hand, else one that it imports, else the first by name."""
+    return H.in_context(_candidates(spark, d), edges(spark, d), "q", "sales/customers.py::Customer1")
 
 
 @query(f"{E} SELECT DISTINCT target_entity FROM e WHERE NOT contains(target_entity, '::') AND NOT contains(target_entity, '/')")
@@ -236,9 +240,29 @@ def url_match_tiered(spark, d):
     return H.urls_matched(calls, spark.createDataFrame(list(enumerate(PATTERNS)), "place int, pattern string"))
 
 
-@query(f"SELECT file_path, count(*) AS n_chunks, array_to_string(list(DISTINCT lang ORDER BY lang)[1:20], ',') AS langs FROM {FILES_SQL} JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY file_path")
+HEAD = "concat(CASE WHEN doc_id % 2 = 0 THEN '# c\n\n' ELSE '' END, CASE WHEN doc_id % 3 = 0 THEN '\"\"\"Module text.\"\"\"\n' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN 'import os\n  from a import b\n' ELSE '' END, text)"
+EITHER, QUOTES = '"' + "''", '"' * 3 + "|" + "'" * 6
+HEAD_SQL = HEAD.replace("\n", "' || chr(10) || '")
+PARTS = "(SELECT concat('f', CAST(doc_id AS STRING)) AS file_path, i, CASE i % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'section' END AS kind, concat(CASE i % 3 WHEN 0 THEN 'def g' WHEN 1 THEN 'class K' ELSE 'def s' END, CAST(i AS STRING), ':') AS content FROM documents, {0} WHERE doc_id % 4 = 0)"
+PARTS_SQL = PARTS.format("(SELECT unnest(range(doc_id % 60)) AS i, doc_id AS own FROM documents) x").replace("WHERE doc_id % 4 = 0", "WHERE own = doc_id AND doc_id % 4 = 0")
+
+
+@query(
+    f"WITH f AS (SELECT concat('f', CAST(doc_id AS STRING)) AS file_path, list_transform(string_split({HEAD_SQL}, chr(10)), lambda x: trim(x, concat(' ', chr(9), chr(13)))) AS ls FROM documents), "
+    f"h AS (SELECT file_path, coalesce(list_filter(ls, lambda x: x <> '' AND NOT starts_with(x, '#'))[1], '') AS first, list_filter(ls, lambda x: starts_with(x, 'import ') OR starts_with(x, 'from '))[1:20] AS im FROM f), "
+    f"s AS (SELECT file_path, list(concat('#   ', rtrim(content, ':')) ORDER BY i) AS sg FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY i) AS n FROM {PARTS_SQL} WHERE kind <> 'section') WHERE n <= 30 GROUP BY file_path) "
+    f"SELECT file_path, concat_ws(chr(10), concat('# File: ', file_path), CASE WHEN regexp_matches(first, '^({QUOTES})') AND trim(first, '{EITHER}') <> '' THEN concat('# ', trim(first, '{EITHER}')) END, CASE WHEN len(im) > 0 THEN concat('# Imports: ', array_to_string(im, ', ')) END, CASE WHEN len(sg) > 0 THEN concat('# Entities:', chr(10), array_to_string(sg, chr(10))) END) AS content "
+    "FROM h LEFT JOIN s USING (file_path) WHERE len(im) > 0 OR len(sg) > 0"
+)
 def file_summary(spark, d):
-    return files(spark, d).groupBy("file_path").agg(F.count("*").alias("n_chunks"), F.array_join(F.slice(F.array_sort(F.collect_set("lang")), 1, 20), ",").alias("langs"))
+    """Path, module docstring, imports and signatures of each file that has one of the last two."""
+    t = table(spark, d, "documents")
+    whole = t.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_path"), F.expr(HEAD.replace("\n", "\\n")).alias("content"))
+    i = F.col("line_start")
+    kind = F.when(i % 3 == 0, "function").when(i % 3 == 1, "class").otherwise("section")
+    parts = t.where("doc_id % 4 = 0 and doc_id % 60 > 0").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_path"), F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 60).cast("int") - 1)).alias("line_start"))
+    chunks = parts.select("file_path", "line_start", F.lit(0).alias("part"), kind.alias("kind"), F.concat(F.when(i % 3 == 0, "def g").when(i % 3 == 1, "class K").otherwise("def s"), i.cast("string"), F.lit(":")).alias("content"))
+    return file_summaries(whole, chunks)
 
 
 OLD = "(SELECT doc_id, sha256(text) AS h FROM documents WHERE lang <> 'de')"
@@ -288,10 +312,11 @@ def max_or_default(spark, d):
     return table(spark, d, "conversations").agg(F.coalesce(F.max(F.when(F.col("role") == "nobody", F.col("turn"))), F.lit(-1)).alias("last_batch"), F.coalesce(F.max("turn"), F.lit(-1)).alias("last_turn"))
 
 
-@query("SELECT file_path, unnest(ids) AS chunk_id FROM (SELECT lang AS file_path, list(doc_id) AS ids FROM documents GROUP BY lang)")
+@query(f"SELECT file_path, unnest([concat(file_path, '::', CAST(doc_id AS STRING)), concat(file_path, '::', left(sha256(content), 12))]) AS chunk_id FROM {FILES_SQL}")
 def explode_ids(spark, d):
-    t = table(spark, d, "documents").groupBy("lang", "source").agg(F.collect_list("doc_id").alias("ids"))
-    return t.select(F.col("lang").alias("file_path"), F.explode("ids").alias("chunk_id"))
+    """The ids that each file's row holds, one to a row."""
+    ids = F.array(F.concat_ws("::", "file_path", F.col("doc_id").cast("string")), F.concat_ws("::", "file_path", F.left(F.sha2("content", 256), F.lit(12))))
+    return files(spark, d).select("file_path", F.explode(ids).alias("chunk_id"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -305,9 +330,11 @@ def enrich_todo(spark, d):
     return files(spark, d).where(~F.col("file_path").endswith("md")).select("doc_id").join(done, "doc_id", "left_anti")
 
 
-@query("SELECT lang, count(*) <= 500 AS within FROM documents GROUP BY lang")
+@query("SELECT collection, n, allowed, n > allowed AS refused FROM (SELECT coalesce(lang, '') AS collection, count(*) AS n, CASE coalesce(lang, '') WHEN 'en' THEN 300 WHEN 'de' THEN 100000 END AS allowed FROM documents GROUP BY ALL UNION ALL SELECT 'all', count(*), 900 FROM documents) WHERE allowed IS NOT NULL")
 def limit_guard(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg((F.count("*") <= 500).alias("within"))
+    """Collections and the whole against their limits; what has none isn't refused."""
+    limits = spark.createDataFrame([("en", 300), ("de", 100000), ("all", 900)], "collection string, allowed int")
+    return I.guarded(table(spark, d, "documents").select(F.coalesce("lang", F.lit("")).alias("collection")), limits)
 
 
 @query("SELECT conv_id, turn, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 25 + 1)::INT AS batch FROM conversations")
@@ -394,28 +421,67 @@ def eval_unblind(spark, d):
     return labels.join(scores, ["doc_id", "side"]).select("doc_id", "label", "score")
 
 
-@query(f"SELECT track, wins, round(mean, 6) AS mean, CASE WHEN mean >= 0.7 AND wins >= 7 THEN 'Ship' WHEN mean >= 0.5 AND wins >= 6 THEN 'Iterate' ELSE 'Kill' END AS verdict FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS track, count(*) FILTER (WHERE {WINNER} = 'a') AS wins, avg(a) AS mean FROM {PAIRED} GROUP BY track)")
+RESULTS = f"(SELECT CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS track, a * 2.5::DOUBLE + 1.5::DOUBLE AS score, {WINNER} AS winner FROM {PAIRED})"
+SIGNED = f"x AS (SELECT round(a - b, 9) AS d, a - b AS raw FROM {PAIRED}), r AS (SELECT d, avg(rn) OVER (PARTITION BY abs(d)) AS r FROM (SELECT d, row_number() OVER (ORDER BY abs(d)) AS rn FROM x WHERE d <> 0)), w AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS wp, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS wm FROM r), ti AS (SELECT coalesce(sum(c * c * c - c), 0) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY abs(d))), mg AS (SELECT avg(raw) AS margin FROM x)"
+TAIL = "(0.5 * (((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t) * exp(-xx * xx))"
+TESTED = f"{SIGNED}, z AS (SELECT n, wp, wm, margin, abs(least(wp, wm) - n * (n + 1) / 4::DOUBLE) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) / sqrt(2::DOUBLE) AS xx FROM w, ti, mg), zz AS (SELECT *, 1 / (1 + 0.3275911 * xx) AS t FROM z), pv AS (SELECT n, wp, wm, margin, CASE WHEN n >= 6 THEN CASE WHEN margin > 0 THEN {TAIL} ELSE 1 - {TAIL} END END AS p FROM zz)"
+PASSES = "(coalesce(p, 1) < 0.10 OR margin > 0.20)"
+
+
+@query(f"WITH {TESTED} SELECT n AS n_nonzero, wp AS w_plus, wm AS w_minus, round(margin, 6) AS margin, round(p, 5) AS p_value, {PASSES} AS passes FROM pv")
+def wilcoxon_rank(spark, d):
+    w = A.wilcoxon(_paired(spark, d), "a", "b")
+    return w.select("n_nonzero", "w_plus", "w_minus", F.round("margin", 6).alias("margin"), F.round("p_value", 5).alias("p_value"), "passes")
+
+
+def _verdict_sql(rate: str) -> str:
+    first = "CASE WHEN o >= 3.66 AND wa + wb >= 7 AND ta >= 3.66 THEN 'Ship' WHEN o >= 3.30 AND wa + wb >= 6 THEN 'Iterate' ELSE 'Kill' END"
+    return (
+        f"(SELECT {rate}::DOUBLE AS rate, round(o, 6) AS overall, wa AS wins_a, wb AS wins_b, CASE WHEN {rate} NOT BETWEEN 0.05 AND 0.55 THEN 'Kill' WHEN {first} = 'Ship' AND NOT {PASSES} THEN 'Iterate' ELSE {first} END AS verdict "
+        f"FROM (SELECT avg(score) AS o, avg(score) FILTER (WHERE track = 'A') AS ta, count(*) FILTER (WHERE track = 'A' AND winner = 'a') AS wa, count(*) FILTER (WHERE track = 'B' AND winner = 'a') AS wb FROM {RESULTS}), pv)"
+    )
+
+
+@query(f"WITH {TESTED} SELECT * FROM {_verdict_sql('0.2')} UNION ALL SELECT * FROM {_verdict_sql('0.6')} UNION ALL SELECT * FROM {_verdict_sql('0.04')}")
 def verdict(spark, d):
-    g = _paired(spark, d).groupBy(F.when(F.col("doc_id") % 2 == 0, "A").otherwise("B").alias("track")).agg(F.count_if(_winner() == "a").alias("wins"), F.avg("a").alias("mean"))
-    v = F.when((F.col("mean") >= 0.7) & (F.col("wins") >= 7), "Ship").when((F.col("mean") >= 0.5) & (F.col("wins") >= 6), "Iterate").otherwise("Kill")
-    return g.select("track", "wins", F.round("mean", 6).alias("mean"), v.alias("verdict"))
+    """By averages and wins, held back by the gate of the escalation rate and the paired test."""
+    p = _paired(spark, d)
+    results = p.select(F.when(F.col("doc_id") % 2 == 0, "A").otherwise("B").alias("track"), (F.col("a") * 2.5 + 1.5).alias("score"), _winner().alias("winner"))
+    tested, out = A.wilcoxon(p, "a", "b"), None
+    for rate in (0.2, 0.6, 0.04):
+        one = A.verdict(results, F.lit(rate), tested).select(F.lit(rate).alias("rate"), F.round("overall", 6).alias("overall"), "wins_a", "wins_b", "verdict")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("SELECT n_nationkey, round(list_sum(list_transform(range(n_nationkey % 12, 13), lambda k: factorial(12) / (factorial(k::INT) * factorial((12 - k)::INT)))) / 4096, 6) AS p FROM nation")
+SQL_CHANCE = "list_sum(list_transform(range({0}, 13), lambda k: factorial(12) / (factorial(k::INT) * factorial((12 - k)::INT)))) / 4096"
+
+
+@query(f"SELECT n_nationkey, round({SQL_CHANCE.format('n_nationkey % 12')}, 6) AS p, abs(2 * (n_nationkey % 12) - 12)::INT AS win_margin, round(least(2 * ({SQL_CHANCE.format('(12 + abs(2 * (n_nationkey % 12) - 12)) // 2')}), 1) * 0.75, 4) AS p_noise, CASE WHEN least(2 * ({SQL_CHANCE.format('(12 + abs(2 * (n_nationkey % 12) - 12)) // 2')}), 1) * 0.75 > 0.30 THEN 'LOW CONFIDENCE' ELSE 'CONFIDENT' END AS flag FROM nation")
 def binomial_noise(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.round(A.noise_probability(F.col("n_nationkey") % 12, F.lit(12)), 6).alias("p"))
+    wins = (F.col("n_nationkey") % 12).cast("int")
+    return table(spark, d, "nation").select("n_nationkey", F.round(A.noise_probability(wins, F.lit(12)), 6).alias("p"), A.stability(wins, F.lit(12), 0.375).alias("s")).select("n_nationkey", "p", "s.*")
 
 
-@query(f"WITH x AS (SELECT round(a - b, 9) AS d FROM {PAIRED} WHERE round(a - b, 9) <> 0), r AS (SELECT d, avg(rn) OVER (PARTITION BY abs(d)) AS r FROM (SELECT d, row_number() OVER (ORDER BY abs(d)) AS rn FROM x)) SELECT count(*) AS n_nonzero, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS w_minus FROM r")
-def wilcoxon_rank(spark, d):
-    return A.wilcoxon(_paired(spark, d), "a", "b")
+FOUND = "(SELECT lang AS query, concat(source, '/', CAST(doc_id % 97 AS STRING)) AS file_path, CASE WHEN doc_id % 3 = 0 OR lang = 'fr' AND doc_id % 7 < 5 THEN 'grep' ELSE 'semantic' END AS src FROM documents)"
+SHARES = f"(SELECT query, sum(n) AS total, count(*) FILTER (WHERE alone) AS novel FROM (SELECT query, file_path, count(*) AS n, bool_and(src = 'grep') AS alone FROM {FOUND} GROUP BY ALL) GROUP BY query)"
+
 
+def _found(spark, d):
+    i = F.col("doc_id")
+    grep = (i % 3 == 0) | ((F.col("lang") == "fr") & (i % 7 < 5))
+    return table(spark, d, "documents").select(F.col("lang").alias("query"), F.concat("source", F.lit("/"), (i % 97).cast("string")).alias("file_path"), F.when(grep, "grep").otherwise("semantic").alias("source"))
 
-@query("SELECT lang, count(DISTINCT source) AS n_all, count(DISTINCT source) FILTER (WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es')) AS n_new FROM documents GROUP BY lang")
+
+@query(f"SELECT query, total::BIGINT AS total, novel, round(novel / total, 6) AS share FROM {SHARES}")
 def marginal_contrib(spark, d):
-    t = table(spark, d, "documents").select("lang", "source").distinct()
-    base = t.where("lang = 'es'").select("source", F.lit(1).alias("_known"))
-    return t.join(base, "source", "left").groupBy("lang").agg(F.count_distinct("source").alias("n_all"), F.count_if(F.col("_known").isNull()).alias("n_new"))
+    """Of each query's results the files that only grep found, over all results."""
+    return A.marginal(_found(spark, d)).select("query", "total", "novel", F.round("share", 6).alias("share"))
+
+
+@query(f"SELECT queries, round(mean, 6) AS mean, with_novel, CASE WHEN mean < 0.10 THEN 'mostly noise' WHEN mean > 0.50 THEN 'semantic incomplete' ELSE 'healthy range' END AS advisory FROM (SELECT count(*) AS queries, avg(novel / total) AS mean, avg(CASE WHEN novel > 0 THEN 100.0::DOUBLE ELSE 0 END) AS with_novel FROM {SHARES})")
+def marginal_report(spark, d):
+    return A.marginal_report(A.marginal(_found(spark, d))).select("queries", F.round("mean", 6).alias("mean"), "with_novel", "advisory")
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -423,10 +489,19 @@ def except_files(spark, d):
     return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").select("doc_id"))
 
 
-@query("SELECT event_type, round(r, 6) AS rate, CASE WHEN r < 0.1 THEN 'low' WHEN r > 0.5 THEN 'high' ELSE 'ok' END AS band FROM (SELECT event_type, avg(CASE WHEN value > 20 THEN 1 ELSE 0 END) AS r FROM events GROUP BY event_type)")
+RATES = "(SELECT event_id % 11 AS k, avg(CASE WHEN value > (event_id % 11) * 20 THEN 1 ELSE 0 END) AS r FROM events GROUP BY ALL)"
+
+
+@query(f"SELECT k, round(r, 6) AS rate, CASE WHEN r > 0.55 THEN 'ABOVE CEILING' WHEN r > 0.25 THEN 'ABOVE TARGET' WHEN r < 0.05 THEN 'BELOW FLOOR' WHEN r < 0.15 THEN 'BELOW TARGET' ELSE 'IN TARGET RANGE' END AS band, r BETWEEN 0.05 AND 0.55 AS gate FROM {RATES}")
 def rate_band(spark, d):
-    g = table(spark, d, "events").groupBy("event_type").agg(F.avg(F.when(F.col("value") > 20, 1).otherwise(0)).alias("r"))
-    return g.select("event_type", F.round("r", 6).alias("rate"), A.rate_band(F.col("r")).alias("band"))
+    k = F.col("event_id") % 11
+    g = table(spark, d, "events").groupBy(k.alias("k")).agg(F.avg(F.when(F.col("value") > k * 20, 1).otherwise(0)).alias("r"))
+    return g.select("k", F.round("r", 6).alias("rate"), A.rate_band(F.col("r")).alias("band"), A.gate(F.col("r")).alias("gate"))
+
+
+@query("SELECT doc_id, CASE WHEN ('0x' || left(md5(concat('42:', CAST(doc_id AS STRING))), 1))::INT < 8 THEN 'a' ELSE 'b' END AS alpha FROM documents")
+def blinded(spark, d):
+    return table(spark, d, "documents").select("doc_id", A.blinded(F.col("doc_id"), 42).alias("alpha"))
 
 
 @query("SELECT s.source, l.lang FROM (SELECT DISTINCT source FROM documents) s, (SELECT DISTINCT lang FROM documents) l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.source = s.source AND d.lang = l.lang)")
@@ -442,7 +517,21 @@ def last_value(spark, d):
     return table(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("last_text"))
 
 
-@query("SELECT conv_id, turn, concat('## ', upper(role), ' #', CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS STRING), chr(10), text) AS line FROM conversations")
+TOOL = "CASE CAST(turn % 6 AS INT) WHEN 0 THEN 'Bash' WHEN 1 THEN 'Read' WHEN 2 THEN 'Grep' WHEN 3 THEN 'Glob' WHEN 4 THEN 'Other' END"
+ARGUMENTS = "CASE CAST(turn % 6 AS INT) WHEN 0 THEN concat('{\"command\": \"run ', CAST(turn AS STRING), '\"}') WHEN 1 THEN concat('{\"file_path\": \"a/', CAST(conv_id AS STRING), '\", \"offset\": 3', CASE WHEN conv_id % 2 = 0 THEN ', \"limit\": 9' ELSE '' END, '}') WHEN 2 THEN '{\"pattern\": \"x\", \"path\": \"src\"}' WHEN 3 THEN '{\"pattern\": \"*.py\"}' WHEN 4 THEN '{\"k\": 1}' END"
+NL = "chr(10)"
+SQL_CALL = (
+    f"concat({NL}, '**[Tool Call ', CAST(n AS STRING), '] ', tool, ':**', CASE tool WHEN 'Bash' THEN concat({NL}, '```bash', {NL}, coalesce(args ->> '$.command', ''), {NL}, '```') "
+    "WHEN 'Read' THEN concat(' `', args ->> '$.file_path', '` (offset=', args ->> '$.offset', coalesce(', limit=' || (args ->> '$.limit'), ''), ')') "
+    "WHEN 'Grep' THEN concat(' pattern=`', args ->> '$.pattern', '` path=`', coalesce(args ->> '$.path', ''), '` mode=files_with_matches') WHEN 'Glob' THEN concat(' pattern=`', args ->> '$.pattern', '` path=`', coalesce(args ->> '$.path', ''), '`') ELSE concat(' ', args) END, chr(10))"
+)
+
+
+@query(
+    f"SELECT conv_id, turn, concat(CASE WHEN role = 'assistant' THEN concat({NL}, '### Assistant', {NL}, {NL}, text, {NL}) ELSE concat({NL}, '**Tool Result:**', {NL}, '```', {NL}, CASE WHEN length(text) > 3000 THEN concat(left(text, 3000), {NL}, '... [truncated]') ELSE text END, {NL}, '```', {NL}) END, CASE WHEN called THEN {SQL_CALL} ELSE '' END) AS line, n::BIGINT AS calls "
+    f"FROM (SELECT *, sum(CASE WHEN called THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT conv_id, turn, role, text, {TOOL} AS tool, {ARGUMENTS} AS args, role = 'assistant' AND {TOOL} IS NOT NULL AS called FROM conversations))"
+)
 def transcript(spark, d):
-    n = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).cast("string")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("## "), F.upper("role"), F.lit(" #"), n, F.lit("\n"), "text").alias("line"))
+    """Readable messages: what was said, each call of a tool with its running number in the conversation, and results cut at 3,000 letters."""
+    m = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.expr(TOOL).alias("tool"), F.expr(ARGUMENTS).alias("arguments"))
+    return A.transcript(m, "conv_id", "turn").select("conv_id", "turn", "line", "calls")

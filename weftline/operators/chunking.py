@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Separators that a text is cut at, coarsest first.
 SEPARATORS = ("\n\nclass ", "\n\ndef ", "\n\n", "\n", " ")
@@ -197,6 +198,12 @@ def closing(source: str, at: int) -> int:
 PARSERS = {"py": python_entities, "ts": script_entities, "tsx": script_entities, "js": script_entities, "jsx": script_entities}
 
 
+def parser(path: Column) -> Column:
+    """How a file is taken apart: python, script or text."""
+    kind = F.lower(F.substring_index(path, ".", -1))
+    return F.when(kind == "py", "python").when(kind.isin(*[k for k in PARSERS if k != "py"]), "script").otherwise("text")
+
+
 def pieces(path: str, text: str, most: int, overlap: int, count: Count) -> list[tuple]:
     """(kind, name, docstring, line_start, line_end, content) of one file's chunks, in order."""
     parse = PARSERS.get(path.rpartition(".")[2].lower())
@@ -248,6 +255,29 @@ def line_chunks(files: DataFrame, key: str, text: str = "content", most: int = M
     return files.select(key, text).mapInPandas(split, f"`{key}` {dict(files.dtypes)[key]}, part int, line_start int, line_end int, tokens long")
 
 
+def word_chunks(files: DataFrame, key: str, text: str = "content", most: int = MOST, count: Count = count_words) -> DataFrame:
+    """(key, part, content): runs of blank-separated words within the limit."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, i, c) for k, t in zip(batch[key], batch[text], strict=True) if t and t.strip() for i, c in enumerate(word_split(t, most, count))]
+            yield pd.DataFrame(rows, columns=[key, "part", "content"])
+
+    return files.select(key, text).mapInPandas(split, f"`{key}` {dict(files.dtypes)[key]}, part int, content string")
+
+
+def entities(files: DataFrame, key: str, path: str = "file_path", text: str = "content") -> DataFrame:
+    """(key, kind, qualified, line_start, line_end, docstring) of all source files."""
+    names = ["kind", "qualified", "line_start", "line_end", "docstring"]
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *(e[n] for n in names)) for k, p, t in zip(batch[key], batch[path], batch[text], strict=True) if t and (own := PARSERS.get(str(p).rpartition(".")[2].lower())) for e in own(t)]
+            yield pd.DataFrame(rows, columns=[key, *names])
+
+    return files.select(key, path, text).mapInPandas(find, f"`{key}` {dict(files.dtypes)[key]}, kind string, qualified string, line_start int, line_end int, docstring string")
+
+
 def token_batches(sizes: list[int], budget: int = 100_000) -> list[int]:
     """Batch numbers from 0 on: a batch is closed before the item that would take it over the budget."""
     out, batch, held = [], 0, 0

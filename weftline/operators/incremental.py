@@ -41,3 +41,10 @@ def git_status(line: Column) -> Column:
     code = F.substring(F.get(parts, F.lit(0)), 1, 1)
     kind = F.when(code == "A", "added").when(code == "M", "modified").when(code == "D", "deleted").when(code == "R", "added")
     return F.struct(kind.alias("change"), F.element_at(parts, -1).alias("path"))
+
+
+def guarded(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """(collection, n, allowed, refused) of collections, and of `all` of them, that have a limit (collection, allowed)."""
+    counts = rows.groupBy("collection").agg(F.count("*").alias("n"))
+    every = counts.unionByName(counts.agg(F.lit("all").alias("collection"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
+    return every.join(limits, "collection").select("collection", "n", "allowed", (F.col("n") > F.col("allowed")).alias("refused"))
