@@ -361,3 +361,69 @@ def test_pattern_columns(spark):
     assert got == [r"class\s+\w+\(.*Model\)", r"models\.\w+Field", "get_user", "OrderModel", "path", r"a\.b"]
     few = graph.urls_matched(spark.createDataFrame([("/a/7/b/",), ("/a/7/8/b",), ("/a/zz",), ("/no",), ("/q.x/1",)], "url string"), spark.createDataFrame([(0, "/a/<int:k>/b"), (1, "/a/"), (2, "/a/<int:k>/<str:s>/b/"), (3, "/q.x/<int:n>"), (4, "/qqx/<int:n>")], "place int, pattern string"))
     assert {r["url"]: (r["pattern"], r["tier"]) for r in few.collect()} == {"/a/7/b/": ("/a/<int:k>/b", 1), "/a/7/8/b": ("/a/<int:k>/<str:s>/b/", 1), "/a/zz": ("/a/<int:k>/b", 2), "/q.x/1": ("/q.x/<int:n>", 1)}
+
+
+def test_table_functions(spark):
+    from weftline.functions import udtf
+
+    udtf.register(spark)
+    spark.createDataFrame(FILES, "file_path string, content string").createOrReplaceTempView("some_files")
+    got = spark.sql("SELECT f.file_path, c.kind, c.name FROM some_files f, LATERAL code_chunks(f.file_path, f.content) c").collect()
+    assert ("a/m.py", "method", "M.save") in {tuple(r) for r in got} and not any(r["file_path"] == "a/blank.py" for r in got)
+    edges = spark.sql("SELECT c.* FROM some_files f, LATERAL code_edges(f.file_path, f.content) c").collect()
+    assert sorted(tuple(r)[:3] for r in edges) == sorted(tuple(r)[:3] for r in extract.relationships(spark.table("some_files")).collect())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from weftline.__main__ import main
+
+    root = tmp_path / "work" / "proj"
+    (root / "pkg").mkdir(parents=True)
+    (root / "pkg" / "m.py").write_text(SOURCE)
+    (root / "pkg" / "big.py").write_bytes(b"x = 1\n\xff")
+    (root / "build").mkdir()
+    (root / "build" / "no.py").write_text("y = 1")
+    own = ["--store", str(tmp_path / "store"), "--registry", str(tmp_path / "projects.json")]
+
+    def call(*args):
+        code = main([*own, *args])
+        return code, [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+
+    assert call("index", str(root)) == (0, [{"change": "added", "count": 2}])
+    assert call("index", str(root)) == (0, [{"change": "unchanged", "count": 2}])
+    head, *found = call("search", "save the model", "--filter", "language=python")[1]
+    assert head["intent"] == "code" and found and {f["file_path"] for f in found} <= {"pkg/m.py", "pkg/big.py"} and "content" not in found[0]
+    assert call("trace", "M.save", "--direction", "outbound", "--depth", "1")[1] and call("status")[1][0]["file_hashes"] == 2
+    assert call("projects")[1][0]["name"] == "proj" and call("doctor")[0] == 0 and "Used by" in call("explain", "m.py::M")[1][0]["explanation"]
+    assert sources.failures(spark, str(root), ["py"]).select("error").distinct().collect()[0]["error"] == "not UTF-8: mended"
+
+
+def test_streamed_files_replace_their_chunks(spark, tmp_path):
+    from weftline.streaming.ingest import ingest, stream_files
+
+    store, inbox = Store(spark, str(tmp_path / "s")), str(tmp_path / "in")
+    schema = "file_path string, content string"
+    spark.createDataFrame([("a.md", "one two"), ("b.py", "x " * 10 + "-" * 100_000 + "1")], schema).write.mode("append").parquet(inbox)
+    ingest(stream_files(spark, inbox, schema), store, str(tmp_path / "c")).awaitTermination()
+    spark.createDataFrame([("a.md", "three")], schema).write.mode("append").parquet(inbox)
+    ingest(stream_files(spark, inbox, schema), store, str(tmp_path / "c")).awaitTermination()
+    got = {r["file_path"]: r["content"][:5] for r in store.read("chunks").collect()}
+    assert got == {"a.md": "three", "b.py": "x x x"}
+
+
+def test_evaluation_rules(spark):
+    pairs = lambda d: spark.createDataFrame([(float(x), 0.0) for x in d], "a double, b double")
+    w = analytics.wilcoxon(pairs([1, 2, 3, 4, 5, 6, -0.5, 7]), "a", "b").first()
+    assert (w["w_plus"], w["w_minus"]) == (35.0, 1.0) and abs(w["p_value"] - 0.00865) < 2e-4 and w["passes"]  # z = 17 / sqrt(51)
+    few = analytics.wilcoxon(pairs([0.3, 0.2]), "a", "b").first()
+    assert few["p_value"] is None and few["passes"] and not analytics.wilcoxon(pairs([0.1, 0.2]), "a", "b").first()["passes"]
+    assert analytics.wilcoxon(pairs([]), "a", "b").first()["n_nonzero"] == 0
+    bands = [one(spark, analytics.rate_band(F.lit(x))) for x in (0.0, 0.1, 0.2, 0.3, 0.6)]
+    assert bands == ["BELOW FLOOR", "BELOW TARGET", "IN TARGET RANGE", "ABOVE TARGET", "ABOVE CEILING"]
+    results = spark.createDataFrame([("A", 4.0, "a")] * 7 + [("B", 4.0, "b")], "track string, score double, winner string")
+    tested = lambda ok: spark.createDataFrame([(ok,)], "passes boolean")
+    say = lambda **k: analytics.verdict(results, **k).first()["verdict"]
+    assert (say(), say(tested=tested(False)), say(rate=F.lit(0.9)), say(rate=F.lit(0.2), tested=tested(True))) == ("Ship", "Iterate", "Kill", "Ship")
+    assert one(spark, analytics.stability(F.lit(7), F.lit(12), 0.5))["flag"] == "LOW CONFIDENCE" and one(spark, analytics.stability(F.lit(12), F.lit(12), 0.5))["flag"] == "CONFIDENT"

@@ -178,18 +178,19 @@ def routes(files: DataFrame, path: str = "file_path", text: str = "content") ->
     return files.where(F.col(path).endswith("urls.py")).select(path, text).mapInPandas(find, "file_path string, place int, pattern string, view string, name string, include string")
 
 
+def edges_of(path: str, source: str) -> list[tuple[str, str, str, str]]:
+    """(source, relationship, target, confidence) of one file, by its extension."""
+    kind = path.rpartition(".")[2].lower()
+    own = python_edges(path, source) if kind == "py" else script_edges(path, source) if kind in ("ts", "tsx", "js", "jsx") else []
+    return [(*e, "inferred" if e[1] in ("renders", "calls_api") else "static") for e in [*own, *test_edges(path, own)]]
+
+
 def relationships(files: DataFrame, path: str = "file_path", text: str = "content") -> DataFrame:
     """(source_entity, relationship, target_entity, file_path, confidence) of all files, per document in Arrow batches."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for p, t in zip(batch[path], batch[text], strict=True):
-                if not p or not t:
-                    continue
-                kind = p.rpartition(".")[2].lower()
-                own = python_edges(p, t) if kind == "py" else script_edges(p, t) if kind in ("ts", "tsx", "js", "jsx") else []
-                rows += [(*e, p, "inferred" if e[1] in ("renders", "calls_api") else "static") for e in [*own, *test_edges(p, own)]]
+            rows = [(s, r, t, p, c) for p, x in zip(batch[path], batch[text], strict=True) if p and x for s, r, t, c in edges_of(p, x)]
             yield pd.DataFrame(rows, columns=["source_entity", "relationship", "target_entity", "file_path", "confidence"])
 
     return files.select(path, text).mapInPandas(find, "source_entity string, relationship string, target_entity string, file_path string, confidence string")

@@ -97,9 +97,25 @@ def expanded(first: DataFrame, wide: DataFrame, key: str, enough: float = ENOUGH
     return R.merged_best([first, more], key)
 
 
+def once(lists: Lists, key: str) -> Lists:
+    """Each list scored once, whatever it is cut to afterwards: its first ENUMERATION rows are kept in memory."""
+    memo: dict[tuple, DataFrame] = {}
+
+    def ranked(p: Prefetch) -> DataFrame:
+        if (p.using, p.module) not in memo:
+            memo[p.using, p.module] = R.top(lists(p), ENUMERATION, key).select(key, "score").persist()
+        return memo[p.using, p.module]
+
+    return ranked
+
+
 def candidates(lists: Lists, intent: str, key: str, module: str = "", limit: int = CANDIDATES) -> DataFrame:
-    """(key, score) of the best `limit`, widened where even the first is unsure."""
-    first = fused(lists, prefetches(intent, module), key, limit)
+    """(key, score) of the best `limit`, widened where even the first is unsure; only then the other lists are made."""
+    lists = once(lists, key)
+    first = fused(lists, prefetches(intent, module), key, limit).persist()
+    best = first.agg(F.max("score")).first()[0]
+    if best is None or best >= ENOUGH:
+        return first
     return R.top(expanded(first, fused(lists, WIDE, key, limit), key), limit, key).select(key, "score")
 
 
