@@ -77,7 +77,7 @@ def shingled(docs: DataFrame, id_: str, text: str) -> DataFrame:
         shingler = Shingler()
         for batch in batches:
             done = 0
-            for run in slabs(batch[text]):
+            for run in slabs(batch[text], 500_000):
                 ids, out = batch[id_].iloc[done : done + len(run)], []
                 done += len(run)
                 for i, t in zip(ids, run, strict=True):
