@@ -25,8 +25,8 @@ from weftline.llm.common import fresh, slabs
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 ASCII_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 RUNS = re.compile(r"\s\s")
-#: Words kept with their tables per worker; beyond it the memo is emptied, which costs time and changes no result.
-MEMO_WORDS = 600_000
+#: Words and characters of words kept with their tables per worker; beyond them the memo is emptied, which costs time and changes no result.
+MEMO_WORDS, MEMO_CHARS = 600_000, 8_000_000
 #: Sweeps over words that begin with the same bytes start behind so many of them.
 HEAD, ONE = 5, (1,)
 
@@ -51,7 +51,8 @@ class PrefixCounter:
             self.rank[raw(a), raw(b)] = i
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         special = set(self.special)
-        self.tokens = {raw(t) for t in spec["model"]["vocab"] if t not in special}
+        self.names = [raw(t) for t in spec["model"]["vocab"] if t not in special]
+        self.tokens = {t: i for i, t in enumerate(self.names)}
         # The lengths that tokens with the same last three bytes have, longest first; shorter tokens end in any of them.
         ends: dict[bytes, set[int]] = {}
         for t in self.tokens:
@@ -64,14 +65,14 @@ class PrefixCounter:
         self.parts = {a + b: (a, b) for a, b in reversed(self.rank)}
         self.right: dict[bytes, list] = {}
         self.left: dict[bytes, list] = {}
-        self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.wide, self.ascii = regex.compile(WORDS), re.compile(ASCII_WORDS, re.ASCII)
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self._forget()
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.heads: dict[bytes, tuple[list[bytes], list[int]]] = {}
+        self.heads: dict[bytes, tuple[list[int], list[int]]] = {}
         self.total, self.length, self.start, self.flat = (array("q") for _ in range(4))
 
     def _spine(self, t: bytes, side: int) -> list[tuple[bytes, int, int]]:
@@ -84,8 +85,9 @@ class PrefixCounter:
                 return out
             taken, t = made, self.parts[t][side]
 
-    def _stay(self, a: bytes, b: bytes) -> bool:
-        """Whether the tokens a and b stay apart: no merge over their border comes before those that take its two pieces."""
+    def _stay(self, first: int, then: int) -> bool:
+        """Whether two tokens stay apart: no merge over their border comes before those that take its two pieces."""
+        a, b = self.names[first], self.names[then]
         if a not in self.right:
             self.right[a] = self._spine(a, 1)
         if b not in self.left:
@@ -98,25 +100,25 @@ class PrefixCounter:
                     ok = False
         if len(self.apart) > 2_000_000:
             self.apart.clear()
-        self.apart[a, b] = ok
+        self.apart[first * len(self.names) + then] = ok
         return ok
 
     def word(self, text: str) -> list[int]:
         """Tokens of each prefix of one word, by characters, from the empty one on."""
         data = text.encode("utf-8", "surrogatepass")
-        n, tokens, apart, ends = len(data), self.tokens, self.apart, self.ends
-        head = self.heads.get(data[:HEAD]) if n > HEAD else None
-        last, count = (head[0].copy(), head[1].copy()) if head else ([b""], [0])
+        n, known, apart, ends, heads, base = len(data), self.tokens.get, self.apart.get, self.ends.get, self.heads, len(self.names)
+        head = heads.get(data[:HEAD]) if n > HEAD else None
+        last, count = (head[0].copy(), head[1].copy()) if head else ([-1], [0])
         for i in range(len(last), n + 1):
-            for size in ends.get(data[i - 3 : i] if i > 2 else data[:i], ONE):
+            for size in ends(data[i - 3 : i] if i > 2 else data[:i], ONE):
                 j = i - size
                 if j < 0:
                     continue
-                t = data[j:i]
-                if t not in tokens:
+                t = known(data[j:i])
+                if t is None:
                     continue
                 if j:
-                    ok = apart.get((last[j], t))
+                    ok = apart(last[j] * base + t)
                     if ok is None:
                         ok = self._stay(last[j], t)
                     if not ok:
@@ -125,7 +127,7 @@ class PrefixCounter:
                 count.append(count[j] + 1)
                 break
             if i == HEAD and n > HEAD:
-                self.heads[data[:HEAD]] = (last.copy(), count.copy())
+                heads[data[:HEAD]] = (last.copy(), count.copy())
         if n != len(text):
             count = [0] + [c for i, c in enumerate(count) if i and (i == n or data[i] & 0xC0 != 0x80)]
         if text in ("'re", "'ve", "'ll"):  # a shorter prefix of these is cut as two words
@@ -161,7 +163,7 @@ class PrefixCounter:
     def prefixes(self, text: str | None) -> np.ndarray:
         """counts[i]: tokens of the first i characters, as encoding just these would give; special strings are one token."""
         text = text or ""
-        if len(self.at) > MEMO_WORDS:
+        if len(self.at) > MEMO_WORDS or len(self.flat) > MEMO_CHARS:
             self._forget()
         if not (self.cut and any(s in text for s in self.special)):
             return np.concatenate([[0], self._ordinary(text)]) if text else np.zeros(1, dtype=np.int64)
@@ -183,7 +185,8 @@ def token_counts(docs: DataFrame, vocab_path: str, limit: int = 512, text: str =
     """Adds to each row n_bytes, n_tokens, over_limit, fit_chars (length of the longest prefix of at most `limit` tokens).
 
     With tables=True also prefix_tokens, the array of counts of all prefixes. Null text counts as empty; a column of the same
-    name is replaced. Map-only: nothing is shuffled, and a worker holds one slab of texts at a time.
+    name is replaced; repeated rows get the same counts each; an empty table gives no rows. Map-only: nothing is shuffled, and a
+    worker holds one slab of texts at a time.
     """
     with open(vocab_path, encoding="utf-8") as f:
         vocab = docs.sparkSession.sparkContext.broadcast(f.read())
