@@ -181,6 +181,17 @@ class PrefixCounter:
         return np.concatenate(out)
 
 
+#: The counter of a worker's last vocabulary, with its memo: tasks that follow in the same worker find words known.
+_LAST: dict[str, PrefixCounter] = {}
+
+
+def counter_of(vocab: str) -> PrefixCounter:
+    if vocab not in _LAST:
+        _LAST.clear()
+        _LAST[vocab] = PrefixCounter(vocab)
+    return _LAST[vocab]
+
+
 def token_counts(docs: DataFrame, vocab_path: str, limit: int = 512, text: str = "text", tables: bool = False) -> DataFrame:
     """Adds to each row n_bytes, n_tokens, over_limit, fit_chars (length of the longest prefix of at most `limit` tokens).
 
@@ -194,7 +205,7 @@ def token_counts(docs: DataFrame, vocab_path: str, limit: int = 512, text: str =
 
     @F.pandas_udf(kind)
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counter = PrefixCounter(vocab.value)
+        counter = counter_of(vocab.value)
         for texts in batches:
             rows = []
             for run in slabs(texts):
