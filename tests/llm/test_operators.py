@@ -760,3 +760,28 @@ def test_empty_tables_and_columns(spark):
     none = odd(spark, [])
     assert langid.identify(none, langid.learn(none)).count() == 0
     assert neardup.classes(none).count() == 0
+
+
+def test_every_operator_takes_an_empty_table(spark):
+    import public_tokenizers
+
+    none = odd(spark, [])
+    assert tokens.token_counts(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    assert toxicity.score(none, toxicity.learn(none, none.select("doc_id", F.lit(1).alias("toxic")))).count() == 0
+    assert decontaminate.covered(none, spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")).count() == 0
+    assert mixing.shuffled(mixing.mix(none)).count() == 0 and neardup.kept(none).count() == 0
+
+
+def test_long_texts_and_many_repeats_are_whole(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    long = " ".join(f"word{i % 977}" for i in range(150_000)) + " é漢" + "x" * 20_000
+    rows = [(1, long, "en", "a")] * 3
+    got = tokens.token_counts(odd(spark, rows), path).toPandas()
+    assert set(got["n_tokens"]) == {len(Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids)}
+    item = " ".join(f"q{i}" for i in range(40))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = decontaminate.covered(odd(spark, [(1, long + " " + item, "en", "a")] * 2), bench).toPandas()
+    assert list(out["contaminated"]) == [True, True] and set(out["coverage"]) == {1.0}

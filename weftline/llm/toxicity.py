@@ -243,9 +243,11 @@ class Scorer:
         return out.astype(float), np.where(count.any(axis=1), count.argmax(axis=1), n)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """0 to 1; 0.7 exactly at the cut-off of a text's guessed language."""
+        """0 to 1; 0.7 exactly at the cut-off of a text's guessed language; 0 for a text without words, which can't be toxic."""
         z, lang = self.logits(texts)
-        return 1 / (1 + np.exp(-np.clip(z - self.model.cuts[lang], -30, 30) - np.log(CUT / (1 - CUT))))
+        out = 1 / (1 + np.exp(-np.clip(z - self.model.cuts[lang], -30, 30) - np.log(CUT / (1 - CUT))))
+        out[[not WORD.search(t) for t in texts]] = 0
+        return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
