@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, langid, mixing, neardup, toxicity
-from weftline.llm.common import crc_of, written
+from weftline.llm.common import crc_of, fresh, written
+
+
+def beside(docs: DataFrame, *needed: str) -> tuple[DataFrame, str]:
+    """docs as one column, next to what a stage judges by: so no column that an operator adds can take the place of one of docs."""
+    own = fresh(docs, "own")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(own), *[c for c in needed if c in docs.columns]), f"{own}.*"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gives an empty one.
     """
     model = langid.learn(docs, usable=F.pmod(crc_of(F.col("doc_id")), F.lit(4)) != 2)
-    return langid.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    rows, own = beside(docs, "text")
+    return langid.identify(rows, model).where(~F.col("rejected")).select(own)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +34,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn(docs, labels, usable=F.pmod(crc_of(F.col("doc_id")), F.lit(3)) != 1)
-    return toxicity.score(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
+    rows, own = beside(docs, "text")
+    return toxicity.score(rows, model).where(F.col("predicted") == 0).select(own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +52,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Repeated rows stay or go together; an empty benchmark contaminates nothing; an empty table gives an empty one.
     """
-    found = decontaminate.covered(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    rows, own = beside(docs, "text")
+    return decontaminate.covered(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(~F.col("contaminated")).select(own)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
