@@ -252,6 +252,14 @@ def split_ident(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.explode(T.identifiers(F.col("text"))).alias("identifier")).withColumn("parts", T.parts_of(F.col("identifier")))
 
 
+SQL_TERM = "concat(replace(lang, 'n', 'N'), 'HTTPServer_', source, 'ToXMLFile', CAST(doc_id % 7 AS STRING), '__', upper(lang), 'x')"
+
+
+@query(f"SELECT doc_id, list_transform(list_filter(flatten(list_transform(list_filter(string_split({SQL_TERM}, '_'), lambda x: x <> ''), lambda x: string_split(regexp_replace(regexp_replace(x, '([a-z])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '_'))), lambda x: x <> ''), lambda x: lower(x)) AS parts FROM documents")
+def split_words(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.word_parts(F.expr(SQL_TERM)).alias("parts"))
+
+
 @query(f"SELECT doc_id, count(DISTINCT t) AS n_tokens FROM {TOKENS_SQL} GROUP BY doc_id")
 def tokenize(spark, d):
     x = table(spark, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))

@@ -77,12 +77,15 @@ def batch_hop(spark, d):
 
 @query(
     f"{E}, s AS (SELECT source_entity AS a, target_entity AS b, {KEYS} FROM e UNION ALL SELECT target_entity, source_entity, {KEYS} FROM e), "
-    f"l0 AS (SELECT '{NATION}' AS n, 0 AS lv), l1 AS (SELECT n, min(lv) AS lv FROM (FROM l0 UNION ALL SELECT b, 1 FROM s JOIN l0 ON a = n) GROUP BY n), l2 AS (SELECT n, min(lv) AS lv FROM (FROM l1 UNION ALL SELECT b, 2 FROM s JOIN l1 ON a = n) GROUP BY n) "
-    f"SELECT {KEYS}, min(lv + 1)::INT AS depth FROM s JOIN l2 ON a = n WHERE lv < 3 GROUP BY ALL"
+    f"l0 AS (SELECT '{NATION}' AS n, 0 AS lv), l1 AS (SELECT n, min(lv) AS lv FROM (FROM l0 UNION ALL SELECT b, 1 FROM s JOIN l0 ON a = n) GROUP BY n), l2 AS (SELECT n, min(lv) AS lv FROM (FROM l1 UNION ALL SELECT b, 2 FROM s JOIN l1 ON a = n) GROUP BY n), "
+    f"x AS (SELECT DISTINCT a, b, {KEYS}, lv + 1 AS d FROM s JOIN l2 ON a = n WHERE lv < 3), y AS (SELECT * FROM x QUALIFY d = min(d) OVER (PARTITION BY {KEYS})), "
+    f"z AS (SELECT y.*, coalesce(f.lv < d, false) OR dense_rank() OVER (PARTITION BY b, d ORDER BY {KEYS}) > 1 AS again FROM y LEFT JOIN l2 f ON f.n = y.b) "
+    f"SELECT {KEYS}, min(d)::INT AS depth, bool_and(again) AS cycle_detected FROM z GROUP BY {KEYS}"
 )
 def bfs_trace(spark, d):
+    """Edges within three steps, each with its first depth and whether it led to what had been reached before."""
     start = spark.createDataFrame([(NATION,)], "entity string")
-    return H.trace(edges(spark, d), start, "both", 3).select("source_entity", "relationship", "target_entity", "depth")
+    return H.trace(edges(spark, d), start, "both", 3).select("source_entity", "relationship", "target_entity", "depth", "cycle_detected")
 
 
 @query(f"{E} SELECT DISTINCT x AS entity FROM (SELECT source_entity AS x FROM e UNION ALL SELECT target_entity FROM e) WHERE lower(x) LIKE '%nation\\_2' ESCAPE '\\'")
