@@ -298,6 +298,11 @@ def test_only_touched_buckets_are_rewritten(spark, tmp_path):
     names = {r["name"] for r in engine.store.read("chunks").where("chunk_type = 'function'").collect()}
     assert names == {f"f{i}" for i in range(40)} - {"f3", "f5"} | {"other"}
     assert engine.status()["file_hashes"] == 39
+    vectors = engine.store.read("embeddings")
+    known = vectors.count()
+    assert known == vectors.select("content_hash").distinct().count() > 39
+    engine.index(changed, full=True)  # caches stay, so nothing is embedded anew
+    assert engine.store.read("embeddings").count() == known and engine.store.read("chunks").where("vector_body is null").count() == 0
     with pytest.raises(LimitError):
         Engine.open(spark, str(tmp_path / "t"), Config(index=IndexConfig(max_chunks=5)), HashingEmbedder(8)).index(files)
 

@@ -102,7 +102,21 @@ class Engine:
         described = ExtractiveDescriber().columns(F.col("content"))
         rich = P.enriched_text(path, F.col("layer"), F.col("app_name"), described["description"], described["keywords"], F.col("callers"), F.col("calls"), F.col("imports"))
         texts = {"signature": head, "semantic": F.when(F.lit(c.enrich), rich).otherwise(P.semantic_stub(head, F.col("callers"), F.col("calls"), F.col("imports"))), "body": F.col("content")}
-        return out.withColumns({f"vector_{k}": self.embedder.column(v) for k, v in texts.items()}).withColumn("enriched", F.lit(c.enrich)).drop("callers", "calls", "imports")
+        return self._embedded(out.withColumn("enriched", F.lit(c.enrich)), texts).drop("callers", "calls", "imports")
+
+    def _embedded(self, chunks: DataFrame, texts: dict[str, Column]) -> DataFrame:
+        """chunks with a vector for each text. Texts that the cache knows by content and model are not embedded again."""
+        store, model = self.store, F.col("model") == self.embedder.model_name
+        store.overwrite("staging", chunks.withColumns({f"_text_{k}": v for k, v in texts.items()}))
+        out = store.read("staging").withColumns({f"_hash_{k}": F.sha2(f"_text_{k}", 256) for k in texts})
+        each = out.select(F.explode(F.array(*[F.struct(F.col(f"_hash_{k}").alias("content_hash"), F.col(f"_text_{k}").alias("text")) for k in texts])).alias("x")).select("x.*").dropDuplicates(["content_hash"])
+        if store.exists("embeddings"):
+            each = each.join(store.read("embeddings").where(model).select("content_hash"), "content_hash", "left_anti")
+        store.append("embeddings", each.select("content_hash", F.lit(self.embedder.model_name).alias("model"), self.embedder.column(F.col("text")).alias("vector")))
+        known = store.read("embeddings").where(model)
+        for k in texts:
+            out = out.join(known.select(F.col("content_hash").alias(f"_hash_{k}"), F.col("vector").alias(f"vector_{k}")), f"_hash_{k}", "left")
+        return out.drop(*[f"_{x}_{k}" for k in texts for x in ("text", "hash")])
 
     def _guard(self, chunks: DataFrame, moved: DataFrame) -> None:
         """Refuses an index of more chunks than the settings allow, of all or of one collection (docs or code)."""

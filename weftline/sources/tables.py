@@ -91,6 +91,11 @@ class Store:
         for g in own[:-1]:
             self._fs.delete(self._path(f"{self.root}/{name}/g{g}"), True)
 
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Adds rows to the last generation; for caches by content, whose rows never change."""
+        own = self._generations(name)
+        rows.write.mode("append").parquet(f"{self.root}/{name}/g{(own or [1])[-1]}")
+
     def upsert(self, name: str, rows: DataFrame) -> None:
         self.overwrite(name, I.upserted(self.read(name), rows, KEYS[name]) if self.exists(name) else rows.dropDuplicates(KEYS[name]))
 
