@@ -29,7 +29,8 @@ SAMPLE_ROWS, SAMPLE_BYTES, CLEAN_WEIGHT = 2400, 1 << 24, 9
 CUT, EPOCHS, RATE = 0.7, 5, 0.01
 #: A word of a text belongs to the language in which it is most frequent among so many common words.
 COMMON = 200
-MEMO_WORDS = 250_000
+#: Words known to a worker; letters scored at once.
+MEMO_WORDS, SLAB = 120_000, 300_000
 
 
 @dataclass
@@ -79,9 +80,9 @@ def _responses(emb: np.ndarray, filters: list[np.ndarray], bias: list[np.ndarray
 
 def train(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: int = 11) -> Model:
     """Stochastic gradient descent on texts and 0/1 labels; every third text is kept for the cut-offs."""
-    rng, at = np.random.default_rng(seed), {}
-    ids = [np.array([at.setdefault(w, len(at)) for w in WORD.findall(t.lower())], dtype=np.int64) for t in texts]
-    keys = hashed_rows(list(at))
+    rng, index = np.random.default_rng(seed), {}
+    ids = [np.array([index.setdefault(w, len(index)) for w in WORD.findall(t.lower())], dtype=np.int32) for t in texts]
+    keys = hashed_rows(list(index))
     local = [np.unique(keys[:, j], return_inverse=True) for j in range(4)]
     emb = [rng.normal(0, 0.1, (len(u), DIM)).astype(np.float32) for u, _ in local]
     row = np.stack([inv for _, inv in local], axis=1) if len(keys) else np.zeros((0, 4), dtype=int)
@@ -133,23 +134,27 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: i
     for (u, _), e, g in zip(local, emb, grads, strict=True):
         moved = (g > 2e-6).any(axis=1)
         rows.append((u[moved].astype(np.int32), e[moved]))
+    del emb, grads, row, keys, local
     known = sorted({x for x in langs if x})
-    counts: dict[str, np.ndarray] = {}
-    for d, lang in zip(texts, langs, strict=True):
+    seen = np.zeros((len(index), len(known)), dtype=np.int32)
+    for d, lang in zip(ids, langs, strict=True):
         if lang:
-            for w in set(WORD.findall(d.lower())):
-                counts.setdefault(w, np.zeros(len(known)))[known.index(lang)] += 1
-    share = np.array([max(1, sum(x == k for x in langs)) for k in known], dtype=float)
-    best = {w: c / share for w, c in counts.items()}
+            seen[np.unique(d), known.index(lang)] += 1
+    share = seen / np.array([max(1, sum(x == k for x in langs)) for k in known], dtype=float)
+    words = np.array(list(index), dtype=object)
+    by_name = np.empty(len(words), dtype=np.int64)
+    by_name[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
     common: dict[str, int] = {}
     for k in range(len(known)):
-        for w in sorted(best, key=lambda w: (-best[w][k], w))[:COMMON]:
-            if best[w].argmax() == k:
-                common[w] = k
+        for w in np.lexsort((by_name, -share[:, k]))[:COMMON]:
+            if share[w, k] > 0 and share[w].argmax() == k:
+                common[words[w]] = k
+    del seen, share, ids, index, words, by_name
     model = Model(rows, filters, bias, out, float(out_bias), common, known, np.full(len(known) + 1, 0.0))
     held = [i for i in range(len(texts)) if i % 3 == 0]
     scorer = Scorer(model)
-    logits, guess = scorer.logits([texts[i] for i in held])
+    parts = [scorer.logits(run) for run in slabs((texts[i] for i in held), SLAB)]
+    logits, guess = (np.concatenate([np.zeros(0, dtype=t), *(x[j] for x in parts)]) for j, t in ((0, float), (1, int)))
     everywhere = _cut(logits, labels[held])
     model.cuts[:] = everywhere
     for k in range(len(known)):
@@ -290,7 +295,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            yield pd.Series(np.concatenate([np.zeros(0), *(scorer.scores(run) for run in slabs(texts, 300_000))]))
+            yield pd.Series(np.concatenate([np.zeros(0), *(scorer.scores(run) for run in slabs(texts, SLAB))]))
 
     got = fresh(docs, "score")
     out = docs.withColumn(got, judge.asNondeterministic()(F.col(text)))
