@@ -39,7 +39,7 @@ def test_splitting_tree_keeps_quotas():
     assert (out == mixing.split(draws, 16)).all()
 
 
-def test_mix_meets_targets(spark):
+def test_mix_meets_targets(spark, monkeypatch):
     d = docs(spark)
     out = mixing.mix(d).toPandas()
     assert len(out) == d.count()
@@ -49,6 +49,9 @@ def test_mix_meets_targets(spark):
     assert (out["taken"] <= 3 * out["size"]).all() and (out["taken"] == out["size"] * out["shards"].str.len()).all()
     again = mixing.mix(d.repartition(7)).toPandas().set_index("doc_id")["taken"].sort_index()
     assert (again == out.set_index("doc_id")["taken"].sort_index()).all()
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    shuffled = mixing.mix(d).toPandas().set_index("doc_id")["taken"].sort_index()
+    assert (shuffled == again).all()
     bad = mixing.mix(d.withColumns({c: F.lit("own") for c in ("block", "part", "src", "i", "Size", "plan_block")})).toPandas().set_index("doc_id")["taken"].sort_index()
     assert (bad == again).all()
 

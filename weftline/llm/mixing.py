@@ -130,9 +130,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         upto = np.concatenate([[0], np.cumsum(parts)])
         return pd.DataFrame({"i": [group[0]], "bound": [int(np.abs(upto - rows["need"].iat[0]).argmin())]})
 
-    edges = blocks.where("edge").join(sources, "i").select("i", F.col("block").alias("edge_block"), "need", "src_name")
-    ends = cut.select(name.alias("src"), F.col(block).alias("block"), F.col(part).alias("part"), F.col(text).alias("text")).join(edges, F.col("src").eqNullSafe(F.col("src_name")) & (F.col("block") == F.col("edge_block")))
-    ends = ends.groupBy("i", "part", "need").agg(F.sum(word_count(F.col("text"))).alias("words"))
+    small = len(names) * BLOCKS <= BROADCAST_ROWS
+    edges = blocks.where("edge").join(sources, "i").select("i", F.col("block").alias("edge_block"), "need", "src_name")  # a row for each source
+    slim = cut.select(name.alias("src"), F.col(block).alias("block"), F.col(part).alias("part"), F.col(text).alias("text"))
+    if small:
+        edges = F.broadcast(edges)
+    else:  # texts stay where they are: their numbers of words are shuffled
+        slim = slim.withColumn("words", word_count(F.col("text"))).drop("text")
+    ends = slim.join(edges, F.col("src").eqNullSafe(F.col("src_name")) & (F.col("block") == F.col("edge_block")))
+    ends = ends.groupBy("i", "part", "need").agg(F.sum(word_count(F.col("text")) if small else F.col("words")).alias("words"))
     bounds = written(ends.groupBy("i").applyInPandas(bounded, "i int, bound int"))
     counts = blocks.groupBy("i").agg(F.max("drawn").alias("drawn")).join(bounds, "i", "left").select("i", "drawn", F.coalesce("bound", F.lit(0)).alias("bound"))
     held = {r["i"]: r for r in counts.collect()}
@@ -155,7 +161,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     table = plan.join(sources.select("i", "src_name"), "i").select(*(F.col(c).alias(f) for c, f in zip(("src_name", "block", "total", "goal", "copies", "extra", "upto"), fields, strict=True)))
     table = written(table)
     s_, b_, size_, target_, copies_, extra_, limit_ = (F.col(f) for f in fields)
-    if len(names) * BLOCKS <= BROADCAST_ROWS:
+    if small:
         table = F.broadcast(table)
     # Blocks without words have no row of their own: they share that of block 0, as none of their documents has a size.
     rows = cut.withColumn(size, word_count(F.col(text))).withColumn(block, F.when(F.col(size) > 0, F.col(block)).otherwise(0))
