@@ -31,8 +31,10 @@ def payload_filter(filters: dict[str, str]) -> Column:
 
 
 def term_frequencies(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, idx, tf): counts of token indices; tokens with one index add up."""
-    return docs.select(key, F.explode(T.all_tokens(text)).alias("_t")).groupBy(key, T.token_index(F.col("_t")).alias("idx")).agg(F.count("*").cast("double").alias("tf"))
+    """(key, idx, tf): counts of token indices; tokens with one index add up. Each different identifier of a text is split and hashed once."""
+    each = docs.select(key, F.explode(T.identifiers(text)).alias("_i")).groupBy(key, "_i").agg(F.count("*").alias("_n"))
+    tokens = each.select(key, "_n", F.explode(T.tokens_of(F.col("_i"))).alias("_t"))
+    return tokens.groupBy(key, T.token_index(F.col("_t")).alias("idx")).agg(F.sum("_n").cast("double").alias("tf"))
 
 
 def idf(postings: DataFrame, n_docs: int | Column) -> DataFrame:
